@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from ..storage import scan
 from .line_dedup import dedup_lines
+from .near_dedup import near_duplicates
 
 
 def op6_line_dedup(spark, sf_dir):
     return dedup_lines(scan(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_line_dedup,)}
+def op9_near_dedup(spark, sf_dir):
+    return near_duplicates(scan(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op6_line_dedup, op9_near_dedup)}

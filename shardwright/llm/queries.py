@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from ..storage import scan
 from .line_dedup import dedup_lines
+from .mixing import mix_report
 from .near_dedup import near_duplicates
+from .packing import pack
+from .quality_rules import apply_rules, fit_cutoffs
 
 
 def op6_line_dedup(spark, sf_dir):
@@ -15,4 +18,17 @@ def op9_near_dedup(spark, sf_dir):
     return near_duplicates(scan(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_line_dedup, op9_near_dedup)}
+def op7_packing(spark, sf_dir):
+    return pack(scan(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark, sf_dir):
+    docs = scan(spark, sf_dir, "documents")
+    return apply_rules(docs, fit_cutoffs(docs, scan(spark, sf_dir, "labels")), values=True)
+
+
+def op10_mixing(spark, sf_dir):
+    return mix_report(scan(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op6_line_dedup, op7_packing, op8_quality_rules, op9_near_dedup, op10_mixing)}

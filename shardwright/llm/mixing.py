@@ -61,9 +61,9 @@ def selection(docs: DataFrame, weights=None, budget=None, temperature: float = T
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, source, n_tokens, epoch, prefix_tokens, take_tokens): a row for each time a document is used.
 
-    prefix_tokens is null in whole epochs, where the order plays no part."""
+    prefix_tokens is -1 in whole epochs, where the order plays no part."""
     keyed, _, prefix = selection(docs, **options)
-    whole = keyed.where("whole > 0").select("doc_id", "src", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"), F.lit(None).cast("long").alias("prefix_tokens"), F.col("n_tokens").alias("take_tokens"))
+    whole = keyed.where("whole > 0").select("doc_id", "src", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"), F.lit(-1).cast("long").alias("prefix_tokens"), F.col("n_tokens").alias("take_tokens"))
     last = keyed.join(prefix, ["src", "key"]).select("doc_id", "src", "n_tokens", F.col("whole").alias("epoch"), "prefix_tokens", F.least("n_tokens", F.col("rest") - F.col("prefix_tokens")).alias("take_tokens"))
     return whole.unionByName(last).withColumnRenamed("src", "source")
 

@@ -1,5 +1,82 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+# words of a text: runs of anything but ASCII white space
+WORDS = r"list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '')"
+
+
+def _bounds(buckets: int) -> str:
+    """Dynamic programming, one table expression per number of buckets; then the way back."""
+    steps, back = [], []
+    for k in range(2, buckets + 1):
+        steps.append(f"d{k} AS (SELECT j, min(v) AS v, arg_min(i, (v, i)) AS i FROM (SELECT b.j, a.j AS i, a.v + b.len * (b.total - a.total) AS v FROM d{k - 1} a0 JOIN lengths a ON a0.j = a.j JOIN lengths b ON a.j < b.j CROSS JOIN (SELECT 1) WHERE a.j >= {k - 1}) GROUP BY j)".replace("a.v", "a0.v"))
+    return ",\n".join(steps)
+
+
+def _packing(buckets: int = 8, budget: int = 32768) -> str:
+    last = [f"b{buckets} AS (SELECT max(j) AS j FROM lengths)"]
+    for k in range(buckets, 1, -1):
+        last.append(f"b{k - 1} AS (SELECT d{k}.i AS j FROM d{k} JOIN b{k} USING (j))")
+    union = " UNION ALL ".join(f"SELECT j FROM b{k}" for k in range(1, buckets + 1))
+    return f"""
+WITH counts AS (SELECT doc_id, len({WORDS}) AS n FROM documents),
+lengths AS (SELECT n AS len, row_number() OVER (ORDER BY n) AS j, sum(count(*)) OVER (ORDER BY n)::BIGINT AS total FROM counts GROUP BY n),
+d1 AS (SELECT j, len * total AS v FROM lengths),
+{_bounds(buckets)},
+{", ".join(last)},
+bounds AS (SELECT len AS bound, row_number() OVER (ORDER BY len) - 1 AS bucket FROM lengths WHERE j IN ({union})),
+placed AS (SELECT c.doc_id, c.n, (SELECT min(bound) FROM bounds WHERE bound >= c.n) AS bound FROM counts c)
+SELECT doc_id, n AS n_tokens, bucket::INT AS bucket, p.bound,
+       (row_number() OVER (PARTITION BY bucket ORDER BY md5('pack:' || doc_id)) - 1) // greatest(1, {budget} // greatest(p.bound, 1)) AS batch
+FROM placed p JOIN bounds b ON p.bound = b.bound
+"""
+
+
+def _quality(alpha: float = 0.05, delta: float = 0.05) -> str:
+    ink = r"strlen(regexp_replace(text, '[ \t\n\r\f\v]', '', 'g'))"
+    share = lambda what: f"strlen(regexp_replace(text, '[^{what}]', '', 'g')) * 10000 // greatest({ink}, 1)"
+    return f"""
+WITH word AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, {WORDS.replace("text,", "coalesce(text, ''),")} AS w FROM documents),
+v AS (
+  SELECT doc_id, stratum,
+    ({share(r"#$%&*|!<>{{}}\[\]\^~=+_\\@/".replace("{{", "{").replace("}}", "}"))})::INT AS symbol_share, ({share("A-Z")})::INT AS upper_share,
+    (len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) * 10000 // greatest(len(w), 1))::INT AS repeat_share, ({share("0-9")})::INT AS digit_share
+  FROM word
+), truth AS (SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+seen AS (SELECT stratum, good, rule, value FROM (UNPIVOT v ON symbol_share, upper_share, repeat_share, digit_share INTO NAME rule VALUE value) JOIN truth USING (doc_id)),
+size AS (SELECT stratum, rule, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE NOT good) AS m FROM seen GROUP BY ALL),
+tests AS (SELECT {delta} / count(*) AS d FROM size),
+tail AS (
+  SELECT stratum, rule, n, m, i, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha / 4}) + (n - i) * ln(1 - {alpha / 4}))) OVER (PARTITION BY stratum, rule ORDER BY i) AS p
+  FROM size, unnest(range(0, least(n, 20 + 2 * n // 50)::BIGINT)) AS u(i)
+), most AS (SELECT stratum, rule, n, m, max(i) AS k FROM tail, tests WHERE p <= d AND m > 0 GROUP BY ALL),
+-- between two values that occur, the highest cutoff is the one below the upper value
+spot AS (SELECT stratum, rule, value, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE NOT good) AS b FROM seen GROUP BY ALL),
+above AS (SELECT stratum, rule, value - 1 AS cut, sum(g) OVER w AS g, sum(b) OVER w AS b FROM spot WINDOW w AS (PARTITION BY stratum, rule ORDER BY value DESC)),
+cutoff AS (
+  SELECT stratum, rule, arg_max(cut, (b * n - g * m, cut)) AS cut FROM above JOIN most USING (stratum, rule) WHERE g <= k AND cut >= 0 AND b * n - g * m > 0 GROUP BY ALL
+)
+SELECT v.doc_id, d.lang, symbol_share, upper_share, repeat_share, digit_share FROM v JOIN documents d USING (doc_id)
+WHERE NOT EXISTS (FROM cutoff c WHERE c.stratum = v.stratum AND cut < CASE rule WHEN 'symbol_share' THEN symbol_share WHEN 'upper_share' THEN upper_share WHEN 'repeat_share' THEN repeat_share ELSE digit_share END)
+"""
+
+
+def _mixing(temperature: float = 0.7) -> str:
+    return f"""
+WITH counts AS (SELECT doc_id, coalesce(source, '') AS source, len({WORDS}) AS n FROM documents WHERE len({WORDS}) > 0),
+total AS (SELECT source, sum(n)::BIGINT AS t FROM counts GROUP BY source),
+plan AS (
+  SELECT source, t, floor((SELECT sum(t) FROM total) * pow(t::DOUBLE, {temperature}) / (SELECT sum(pow(x.t::DOUBLE, {temperature}) ORDER BY x.source) FROM total x))::BIGINT AS b FROM total
+), keyed AS (
+  SELECT c.*, b // t AS whole, b % t AS rest, md5('mix:' || (b // t) || ':' || c.source || ':' || c.doc_id) AS key FROM counts c JOIN plan USING (source)
+), last AS (
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p FROM keyed
+)
+SELECT doc_id, source, n AS n_tokens, epoch, (-1)::BIGINT AS prefix_tokens, n AS take_tokens FROM keyed, unnest(range(0, whole)) AS u(epoch)
+UNION ALL
+SELECT doc_id, source, n, whole, p, least(n, rest - p) FROM last WHERE p < rest
+"""
+
+
 ORACLES = {
     "op6_line_dedup": r"""
 WITH line AS (
@@ -13,5 +90,17 @@ WITH line AS (
   SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE blank OR rn = 1), '') AS text FROM ranked GROUP BY doc_id
 )
 SELECT d.doc_id, t.text, d.lang, d.source, length(t.text) AS n_chars FROM documents d JOIN text t USING (doc_id)
+""",
+    "op7_packing": _packing(),
+    "op8_quality_rules": _quality(),
+    "op10_mixing": _mixing(),
+    "op2_suffix_dedup": f"""
+WITH word AS (SELECT doc_id, {WORDS} AS w FROM documents),
+gram AS (SELECT doc_id, p, md5(array_to_string(w[p + 1 : p + 50], ' ')) AS h FROM word, unnest(range(0, len(w) - 49)) AS u(p)),
+shared AS (SELECT h, min(doc_id) AS first FROM gram GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+hit AS (SELECT doc_id, p, doc_id <> first AS later FROM gram JOIN shared USING (h)),
+mark AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id, later ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM hit),
+island AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, later ORDER BY p) AS i FROM mark)
+SELECT doc_id, min(p) AS start_word, max(p) + 50 - min(p) AS n_words, later FROM island GROUP BY doc_id, later, i
 """,
 }

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from ..storage import scan
 from .line_dedup import dedup_lines
 from .mixing import mix_report
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import apply_rules, fit_cutoffs
+from .suffix_dedup import repeated_passages
+
+
+def op2_suffix_dedup(spark, sf_dir):
+    return repeated_passages(scan(spark, sf_dir, "documents"))
 
 
 def op6_line_dedup(spark, sf_dir):
@@ -31,4 +38,8 @@ def op10_mixing(spark, sf_dir):
     return mix_report(scan(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_line_dedup, op7_packing, op8_quality_rules, op9_near_dedup, op10_mixing)}
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op6_line_dedup, op7_packing, op8_quality_rules, op9_near_dedup, op10_mixing, pipeline)}

@@ -30,6 +30,7 @@ from .text import Hasher, mix, runs, words
 DF_BITS = 20
 K, THRESHOLD, BANDS, ROWS = 2, 0.5, 14, 3
 DOC_LIMIT = 4096
+BROADCAST_BYTES = 64 << 20
 IDF_STEP = 128.0
 STEP = np.uint64(0xD6E8FEB86659FD93)
 ELEMENT = np.uint64((1 << 52) - 1)
@@ -243,11 +244,17 @@ def similarities(left, right, codes: np.ndarray, k: int, hasher: Hasher) -> np.n
     return out
 
 
+def small(ids: DataFrame) -> DataFrame:
+    """ids with a broadcast hint if they take at most BROADCAST_BYTES, so that no text is shuffled to find them; else for a join by shuffle."""
+    return F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids.hint("merge")
+
+
 def verified_pairs(docs: DataFrame, pairs: DataFrame, codes, k: int, threshold: float) -> DataFrame:
     """(a, b, similarity) of the pairs that reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    both = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b")
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    left, right = (texts.withColumnsRenamed({"doc_id": x, "text": f"t{x}"}).hint("merge") for x in "ab")
+    both = pairs.join(left, "a").join(right, "b")
 
     def verify(batches):
         hasher, table = Hasher(), codes.value
@@ -292,5 +299,5 @@ def near_duplicates(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, b
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each group."""
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    gone = materialize(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone")), "near-gone")
+    return docs.join(small(gone), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")

@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from ..storage import scan
 from .line_dedup import dedup_lines
+from .lm_score import lm_scores
 from .mixing import mix_report
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -13,6 +14,10 @@ from .quality_rules import apply_rules, fit_cutoffs
 from .suffix_dedup import repeated_passages
 
 
+def op1_lm_score(spark, sf_dir):
+    return lm_scores(scan(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark, sf_dir):
     return repeated_passages(scan(spark, sf_dir, "documents"))
 
@@ -42,4 +47,4 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op6_line_dedup, op7_packing, op8_quality_rules, op9_near_dedup, op10_mixing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op6_line_dedup, op7_packing, op8_quality_rules, op9_near_dedup, op10_mixing, pipeline)}

@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .text import Hasher, mix, runs, words
+from .text import Hasher, mix, pieces, runs, words
 
 MIN_WORDS, K = 50, 25
-BATCH_WORDS = 600_000
+BATCH_WORDS = 300_000
 _Q = 0xD1342543DE82EF95
 
 
@@ -257,7 +257,7 @@ def _whole_groups(batches, least_rows: int):
 def anchor_rows(docs: DataFrame, min_words: int, k: int) -> DataFrame:
     def find(batches):
         hasher = Hasher()
-        for batch in batches:
+        for batch in pieces(batches, 1):
             hashes, at = words(batch.column(1), hasher)
             place, value = anchors(hashes, at, min_words, k)
             doc = np.searchsorted(at, place, "right") - 1
@@ -286,7 +286,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K) -
 
     def windows(batches):
         hasher = Hasher()
-        for batch in batches:
+        for batch in pieces(batches, 1):
             hashes, at = words(batch.column(1), hasher)
             code = (hashes >> np.uint64(32)).astype(np.uint32)
             for lo in range(0, batch.num_rows, 256):

@@ -195,3 +195,14 @@ def runs(values: np.ndarray) -> np.ndarray:
     if not len(values):
         return np.zeros(1, np.int64)
     return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
+
+
+def pieces(batches, column: int, limit: int = 4 << 20):
+    """Batches cut into slices of at most about limit bytes of text (one row at least), so that working arrays stay small."""
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+            continue
+        _, offsets = flat(batch.column(column))
+        for i, j in groups(offsets, limit):
+            yield batch.slice(i, j - i)

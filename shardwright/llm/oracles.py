@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .license_scan import license_sql
+
 # words of a text: runs of anything but ASCII white space
 WORDS = r"list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '')"
 
@@ -103,4 +105,9 @@ mark AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id, later ORDER
 island AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, later ORDER BY p) AS i FROM mark)
 SELECT doc_id, min(p) AS start_word, max(p) + 50 - min(p) AS n_words, later FROM island GROUP BY doc_id, later, i
 """,
+    "op3_media_columns": """
+SELECT page_id, CASE WHEN lower(html[:14]) = '<!doctype html' OR lower(html[:5]) = '<html' THEN 'text/html' ELSE 'application/octet-stream' END AS media_type,
+       strlen(html) AS n_bytes, sha256(html) AS digest, 1 AS attempts, '' AS error, html FROM pages
+""",
+    "op4_license_scan": license_sql(),
 }

@@ -5,13 +5,16 @@ from __future__ import annotations
 import corpus_pipeline
 
 from ..storage import scan
+from .license_scan import license_notices
 from .line_dedup import dedup_lines
 from .lm_score import lm_scores
+from .media import page_media
 from .mixing import mix_report
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import apply_rules, fit_cutoffs
 from .suffix_dedup import repeated_passages
+from .token_ids import token_columns
 
 
 def op1_lm_score(spark, sf_dir):
@@ -22,6 +25,18 @@ def op2_suffix_dedup(spark, sf_dir):
     return repeated_passages(scan(spark, sf_dir, "documents"))
 
 
+def op3_media_columns(spark, sf_dir):
+    return page_media(scan(spark, sf_dir, "pages"))
+
+
+def op4_license_scan(spark, sf_dir):
+    return license_notices(scan(spark, sf_dir, "documents"))
+
+
+def op5_token_ids(spark, sf_dir):
+    return token_columns(scan(spark, sf_dir, "documents"))[0]
+
+
 def op6_line_dedup(spark, sf_dir):
     return dedup_lines(scan(spark, sf_dir, "documents"))
 
@@ -47,4 +62,4 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op6_line_dedup, op7_packing, op8_quality_rules, op9_near_dedup, op10_mixing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op3_media_columns, op4_license_scan, op5_token_ids, op6_line_dedup, op7_packing, op8_quality_rules, op9_near_dedup, op10_mixing, pipeline)}

@@ -99,14 +99,16 @@ def word_spans(x: np.ndarray, edges: np.ndarray, space: np.ndarray) -> tuple[np.
     return start, np.flatnonzero(word & ~after) + 1
 
 
-def words(column, hasher: Hasher | None = None, spans: bool = False):
-    """(hashes of all words, pointer of each document into them[, starts, ends in bytes of the document])."""
+def words(column, hasher: Hasher | None = None, spans: bool = False, fold: np.ndarray | None = None):
+    """(hashes of all words, pointer of each document into them[, starts, ends in bytes of the document]); fold maps bytes first."""
     hasher, space = hasher or Hasher(), space_table()
     raw, offsets = flat(column)
     hashes, starts, ends, pointer = [], [], [], [np.zeros(1, np.int64)]
     seen = 0
     for i, j in groups(offsets):
         x = raw[offsets[i] : offsets[j]]
+        if fold is not None:
+            x = fold[x]
         edges = offsets[i : j + 1] - offsets[i]
         start, end = word_spans(x, edges, space)
         at = np.searchsorted(start, edges[1:])

@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Hasher, flat, mix, runs, word_counts, words
+from .text import Hasher, flat, groups, mix, runs, word_counts, words
 
 ORDER, BETA = 2, 8.0
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
+SLICE_WORDS = 200_000
 LANE = 512
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 ROOT = np.uint64(0x2545F4914F6CDD1D)
@@ -253,9 +254,12 @@ def lm_scores(docs: DataFrame, order: int = ORDER, beta: float = BETA, block_byt
             raw, size = raw.as_py(), at[owner + 1] - at[owner]
             count[at[owner] : at[owner + 1]] = np.frombuffer(raw, np.uint32 if len(raw) == 4 * size else np.int64)
         out = np.full(len(n), np.nan)
-        if len(rows):
-            auto = Automaton(tokens, edge, keys, valid, {"keys": known, "counts": count}, n_words, beta)
-            out[rows] = traverse(auto, tokens, edge, order)
+        del keys, valid
+        # an automaton serves its own documents only, so a slice of the block at a time is enough
+        for i, j in groups(edge, SLICE_WORDS):
+            own, own_edge = tokens[edge[i] : edge[j]], edge[i : j + 1] - edge[i]
+            auto = Automaton(own, own_edge, *grams(own, own_edge, order), {"keys": known, "counts": count}, n_words, beta)
+            out[rows[i:j]] = traverse(auto, own, own_edge, order)
         none = np.isnan(out)
         return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(n), "log_prob": pa.array(out, mask=none), "perplexity": pa.array(np.exp(np.minimum(-out / (n + 1), 700.0)), mask=none)})
 

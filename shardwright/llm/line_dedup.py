@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Hasher, flat, lines, mix, runs, take_spans
+from .text import Hasher, flat, lines, mix, pieces, runs, take_spans
 
 SEGMENT_BITS = 1 << 20
 BROADCAST_BYTES = 64 << 20
@@ -129,7 +129,7 @@ def suspect_lines(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Da
 
         def build(batches):
             hasher, filters = Hasher(), TwoBlooms(segments)
-            for batch in batches:
+            for batch in pieces(batches, 0):
                 filters.add(lines(batch.column(0), hasher)[0])
             yield filters.rows()
 
@@ -141,14 +141,14 @@ def suspect_lines(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Da
 
         def find(batches):
             hasher, bits = Hasher(), shared.value
-            for batch in batches:
+            for batch in pieces(batches, 1):
                 yield _suspects(batch, hasher, lambda h: suspected(h, segments, bits))
 
         return source.mapInArrow(find, SUSPECTS)
 
     def places(batches):
         hasher = Hasher()
-        for batch in batches:
+        for batch in pieces(batches, 1):
             hashes, doc, number, *_ = lines(batch.column(1), hasher)
             yield pa.record_batch([pa.array(hashes.view(np.int64)), batch.column(0).take(pa.array(doc)), batch.column(2).take(pa.array(doc)), pa.array(number, pa.int32())], ["h", "doc_id", "text_hash", "line_no"])
 
@@ -173,7 +173,7 @@ def suspect_lines(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Da
 
     def text_of(batches):
         hasher = Hasher()
-        for batch in batches:
+        for batch in pieces(batches, 1):
             at = [set(x) for x in batch.column(3).to_pylist()]
             _, doc, number, *_ = lines(batch.column(1), hasher)
             mask = np.fromiter((n in at[d] for d, n in zip(doc.tolist(), number.tolist())), bool, len(doc))
@@ -195,7 +195,7 @@ def repeated_lines(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> D
 
 def without_lines(batches):
     """Drop the lines numbered in the last column from the text in the first one."""
-    for batch in batches:
+    for batch in pieces(batches, 0):
         raw, offsets = flat(batch.column(0))
         drop = batch.column(batch.num_columns - 1)
         text = batch.column(0).cast(pa.string()).to_pylist()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Hasher, flat, groups, mix, runs, word_counts, words
+from .text import Hasher, flat, groups, mix, release, runs, word_counts, words
 
 ORDER, BETA = 2, 8.0
 BLOCK_BYTES = 12 << 20
@@ -221,6 +221,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, beta: float = BETA, block_byt
         known, count = distinct(np.concatenate([k[v] for k, v in zip(keys, valid)]))
         at = np.concatenate([[0], np.searchsorted(known, cuts), [len(known)]])
         count = count.astype(np.uint32)
+        del tokens, edge, keys, valid
+        release()
         own = [(i, a, b) for i, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
         return pa.table(
             {
@@ -261,6 +263,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, beta: float = BETA, block_byt
             auto = Automaton(own, own_edge, *grams(own, own_edge, order), {"keys": known, "counts": count}, n_words, beta)
             out[rows[i:j]] = traverse(auto, own, own_edge, order)
         none = np.isnan(out)
+        release()
         return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(n), "log_prob": pa.array(out, mask=none), "perplexity": pa.array(np.exp(np.minimum(-out / (n + 1), 700.0)), mask=none)})
 
     sent = blocked.groupBy("block").applyInArrow(gather, "owner int, block int, keys binary, counts binary")

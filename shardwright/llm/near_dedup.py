@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 from .components import components
-from .text import Hasher, mix, runs, words
+from .text import Hasher, mix, pieces, runs, words
 
 DF_BITS = 20
 K, THRESHOLD, BANDS, ROWS = 2, 0.5, 14, 3
@@ -42,7 +42,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches):
         hasher, total, n = Hasher(), np.zeros(size, np.int64), 0
-        for batch in batches:
+        for batch in pieces(batches, 0):
             hashes, at = words(batch.column(0), hasher)
             n += int((np.diff(at) > 0).sum())
             for i in range(0, len(at) - 1, DOC_LIMIT):
@@ -153,7 +153,7 @@ def signature_rows(docs: DataFrame, codes, k: int, samples: int) -> DataFrame:
 
     def sign(batches):
         hasher, sampler, table = Hasher(), Sampler(samples), codes.value
-        for batch in batches:
+        for batch in pieces(batches, 2):
             hashes, at = words(batch.column(2), hasher)
             ids, sigs = [], []
             for i in range(0, len(at) - 1, DOC_LIMIT):
@@ -258,7 +258,7 @@ def verified_pairs(docs: DataFrame, pairs: DataFrame, codes, k: int, threshold:
 
     def verify(batches):
         hasher, table = Hasher(), codes.value
-        for batch in batches:
+        for batch in pieces(batches, 2, 2 << 20):
             s = similarities(batch.column(2), batch.column(3), table, k, hasher)
             good = np.flatnonzero(s >= threshold)
             yield pa.record_batch([batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good)), pa.array(s[good])], ["a", "b", "similarity"])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Hasher, flat, groups, space_table, words
+from .text import Hasher, flat, groups, pieces, space_table, words
 
 SCALE = 10_000
 ALPHA, DELTA = 0.05, 0.05
@@ -79,7 +79,7 @@ def with_values(docs: DataFrame) -> DataFrame:
 
     def value(batches):
         hasher = Hasher()
-        for batch in batches:
+        for batch in pieces(batches, 2):
             v = rule_values(batch.column(2), hasher)
             yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(v[:, r].astype(np.int32)) for r in range(len(RULES)))], ["doc_id", "stratum", *RULES])
 
@@ -146,7 +146,7 @@ def apply_rules(docs: DataFrame, cutoffs: dict[str, dict[str, int]], values: boo
 
     def keep(batches):
         hasher = Hasher()
-        for batch in batches:
+        for batch in pieces(batches, text):
             v = rule_values(batch.column(text), hasher)
             mask = kept_mask(v, batch.column(batch.num_columns - 1).dictionary_encode(), cutoffs)
             if values:

@@ -7,6 +7,8 @@ Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -208,3 +210,12 @@ def pieces(batches, column: int, limit: int = 4 << 20):
         _, offsets = flat(batch.column(column))
         for i, j in groups(offsets, limit):
             yield batch.slice(i, j - i)
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers are reused, and an executor pays for what they keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
+from .text import pieces
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -84,8 +85,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         tokenizer = load_tokenizer(path, pattern)
         width = "<u2" if tokenizer.n_vocab <= 1 << 16 else "<u4"
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                own = batch.slice(i, 512)
+            for own in pieces([batch], 1, 1 << 20):
                 ids = [None if x is None else np.array(tokenizer.encode_ordinary(x), width) for x in own.column(1).to_pylist()]
                 n = pa.array([None if x is None else len(x) for x in ids], pa.int64())
                 yield pa.record_batch([own.column(0), n, pa.array([None if x is None else x.tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])

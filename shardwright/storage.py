@@ -39,6 +39,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+BATCH_BYTES = "16777216"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches to Python of at most 16 MB, however long texts are, unless the session names a size of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the plan is cut and nothing is computed twice."""
     spark = df.sparkSession
@@ -48,4 +58,5 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -141,17 +141,6 @@ def fit(values: Column, n: int) -> Column:
     return F.slice(F.concat(values, F.array_repeat(F.lit(0.0), n)), 1, n)
 
 
-def byte_histogram(payload: Column, first: int, bins: int, lower: bool) -> Column:
-    """Shares of the bytes modulo bins among the first bytes; zeros for an empty payload."""
-    raw = F.substring(payload, 1, first)
-    n = F.octet_length(raw)
-    # ASCII capitals in lower case byte by byte
-    value = lambda i: F.conv(F.hex(F.substring(raw, i, 1)), 16, 10).cast("int")
-    code = (lambda i: F.when((value(i) >= 65) & (value(i) <= 90), value(i) + 32).otherwise(value(i))) if lower else value
-    codes = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.pmod(code(i), F.lit(bins)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(codes, lambda c: c == b)) / F.greatest(F.lit(1.0), n.cast("double")))
-
-
 def replacement_payload(sequence: Column, size: Column, prefix: str = "MUT-") -> Column:
     """A recognisable payload: prefix, number, then a fill byte up to size."""
     head = F.encode(F.concat(F.lit(prefix), F.lpad(sequence.cast("string"), 8, "0"), F.lit("|")), "UTF-8")

@@ -78,7 +78,7 @@ def append_tar(payloads: list[tuple[str, bytes]]) -> tuple[bytes, list[int]]:
 def write_webdataset(samples: DataFrame, root: str) -> DataFrame:
     """Archives of <key>.<ext> and <key>.cls from samples (shard, ordinal, ext, payload, label); returns (name, shard), the index of names."""
     ext = F.regexp_replace(F.lower("ext"), r"^\.?(jpeg|jpe|jpg)$", "jpg")
-    own = samples.select("shard", F.lpad(F.col("ordinal").cast("string"), 8, "0").alias("key"), F.ltrim(F.lit("."), ext).alias("ext"), "payload", F.col("label").cast("string").alias("label"))
+    own = samples.select("shard", F.lpad(F.col("ordinal").cast("string"), 8, "0").alias("key"), F.ltrim(ext, F.lit(".")).alias("ext"), "payload", F.col("label").cast("string").alias("label"))
     own = own.repartition("shard").sortWithinPartitions("shard", "key")
 
     def write(batches):

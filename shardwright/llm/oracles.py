@@ -55,7 +55,7 @@ tail AS (
 spot AS (SELECT stratum, rule, value, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE NOT good) AS b FROM seen GROUP BY ALL),
 above AS (SELECT stratum, rule, value - 1 AS cut, sum(g) OVER w AS g, sum(b) OVER w AS b FROM spot WINDOW w AS (PARTITION BY stratum, rule ORDER BY value DESC)),
 cutoff AS (
-  SELECT stratum, rule, arg_max(cut, (b * n - g * m, cut)) AS cut FROM above JOIN most USING (stratum, rule) WHERE g <= k AND cut >= 0 AND b * n - g * m > 0 GROUP BY ALL
+  SELECT stratum, rule, arg_max(cut, (b - 20 * g, cut)) AS cut FROM above JOIN most USING (stratum, rule) WHERE g <= k AND cut >= 0 AND b - 20 * g > 0 GROUP BY ALL
 )
 SELECT v.doc_id, d.lang, symbol_share, upper_share, repeat_share, digit_share FROM v JOIN documents d USING (doc_id)
 WHERE NOT EXISTS (FROM cutoff c WHERE c.stratum = v.stratum AND cut < CASE rule WHEN 'symbol_share' THEN symbol_share WHEN 'upper_share' THEN upper_share WHEN 'repeat_share' THEN repeat_share ELSE digit_share END)

@@ -4,8 +4,8 @@ Each rule is a share of a text in steps of 1/SCALE; high values are bad. All lab
 (lang) a cutoff c rejects documents above it. Good documents above c are binomial, so with n good documents of which k lie above c
 the rejection rate is below `alpha` with confidence 1 - delta if P(Bin(n, alpha) <= k) <= delta. delta is split evenly over all
 (stratum, rule) pairs and alpha over the rules (Bonferroni), so with confidence 1 - DELTA each stratum loses less than ALPHA of
-its good documents to all rules together. Among the cutoffs at or above the lowest certified one, that with the largest share of bad
-minus share of good documents rejected is taken, the highest of equals; a rule that cannot be certified in a stratum, or gains
+its good documents to all rules together. Among the cutoffs at or above the lowest certified one, that with the most bad
+documents less COST times the good documents rejected is taken, the highest of equals; a rule that cannot be certified in a stratum, or gains
 nothing there, is off.
 
 Only whole-corpus histograms (SCALE + 1 bins per rule and stratum) reach the driver, never rows.
@@ -29,6 +29,7 @@ from .text import Hasher, flat, groups, pieces, space_table, words
 
 SCALE = 10_000
 ALPHA, DELTA = 0.05, 0.05
+COST = 20
 SYMBOLS = b"#$%&*|!<>{}[]^~=+_\\@/"
 RULES = ("symbol_share", "upper_share", "repeat_share", "digit_share")
 
@@ -107,7 +108,7 @@ def choose_cutoff(good: np.ndarray, bad: np.ndarray, alpha: float, delta: float)
         return None
     good_above = n - np.cumsum(good)
     bad_above = m - np.cumsum(bad)
-    gain = bad_above.astype(object) * n - good_above.astype(object) * m  # exact integers
+    gain = bad_above - COST * good_above
     best = None
     for c in range(len(good) - 1, -1, -1):
         if good_above[c] > k:

@@ -76,6 +76,19 @@ def indexed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return ordered[edge[:-1]] if len(keys) else keys, np.diff(edge), by[edge[:-1]] if len(keys) else by, index
 
 
+def packed_keys(keys: np.ndarray, base: int) -> bytes:
+    """Sorted keys as differences of as few whole bytes as all of them fit; the first byte says how many."""
+    step = np.diff(keys, prepend=np.uint64(base))
+    size = max(1, (int(step.max()).bit_length() + 7) // 8)
+    return bytes([size]) + np.ascontiguousarray(step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+
+
+def unpacked_keys(raw: bytes, base: int) -> np.ndarray:
+    step = np.zeros(((len(raw) - 1) // raw[0], 8), np.uint8)
+    step[:, : raw[0]] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0])
+    return np.cumsum(step.view("<u8").ravel(), dtype=np.uint64) + np.uint64(base)
+
+
 class Index:
     """Open-addressing hash index of distinct 64-bit keys; all operations on arrays."""
 
@@ -213,7 +226,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, beta: float = BETA, block_byt
     n_words = total.words or 0
     blocked = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
     # owners hold even ranges of the hash
-    cuts = np.array([(i << 64) // blocks for i in range(1, blocks)], np.uint64)
+    bases = [(i << 64) // blocks for i in range(blocks)]
+    cuts = np.array(bases[1:], np.uint64)
 
     def gather(table: pa.Table) -> pa.Table:
         tokens, edge, _ = sequences(table.column("text"), Hasher())
@@ -228,13 +242,14 @@ def lm_scores(docs: DataFrame, order: int = ORDER, beta: float = BETA, block_byt
             {
                 "owner": pa.array([i for i, _, _ in own], pa.int32()),
                 "block": pa.array([table.column("block")[0].as_py()] * len(own), pa.int32()),
-                "keys": pa.array([known[a:b].tobytes() for _, a, b in own], pa.binary()),
+                "keys": pa.array([packed_keys(known[a:b], bases[i]) for i, a, b in own], pa.binary()),
                 "counts": pa.array([count[a:b].tobytes() for _, a, b in own], pa.binary()),
             }
         )
 
     def add(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
+        base = bases[table.column("owner")[0].as_py()]
+        keys = [unpacked_keys(x.as_py(), base) for x in table.column("keys")]
         count = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]).astype(np.int64)
         by = np.argsort(np.concatenate(keys))
         edge = runs(np.concatenate(keys)[by])

@@ -104,6 +104,18 @@ def test_lm_scores(docs, order):
     assert len(got[10]) == 2 and got[10][0].log_prob == got[10][1].log_prob
 
 
+def test_empty_tables(empty):
+    assert lm_score.lm_scores(empty).count() == 0 and suffix_dedup.repeated_passages(empty).count() == 0
+
+
+def test_key_packing():
+    r = np.random.default_rng(0)
+    for n, high in ((1, 2**64 - 1), (5, 9), (1000, 2**64 - 1), (300, 2**40)):
+        keys = np.sort(r.integers(0, high, n, dtype=np.uint64, endpoint=True))
+        for base in (0, int(keys[0])):
+            assert (lm_score.unpacked_keys(lm_score.packed_keys(keys, base), base) == keys).all()
+
+
 def test_lm_is_a_distribution():
     """Arcs and failure arcs of a state together give every known word and the unknown one their share: the sum is 1."""
     import pyarrow as pa

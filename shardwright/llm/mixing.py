@@ -22,6 +22,7 @@ from ..storage import materialize
 from .ranges import digits_for, random_key, token_counts
 
 SEED, TEMPERATURE = "mix", 0.7
+BROADCAST_SOURCES = 100_000
 PLAN = T.StructType([T.StructField("src", T.StringType()), T.StructField("whole", T.LongType()), T.StructField("rest", T.LongType())])
 
 
@@ -43,7 +44,10 @@ def selection(docs: DataFrame, weights=None, budget=None, temperature: float = T
     spark = docs.sparkSession
     slim = _source(docs.select("doc_id", "source", "text")).select("doc_id", "src", "text")
     counts = materialize(token_counts(slim, "doc_id", "src").where("n_tokens > 0"), "mix-counts")
-    plan = spark.createDataFrame(source_plan(counts, weights, budget, temperature), PLAN)
+    rows = source_plan(counts, weights, budget, temperature)
+    plan = spark.createDataFrame(rows, PLAN)
+    if len(rows) <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
     n = counts.count()
     keyed = counts.join(plan, "src").withColumn("key", random_key(seed, F.col("whole"), F.col("src"), F.col("doc_id")))
     # rows with equal keys count as one
@@ -73,11 +77,12 @@ def mix_documents(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     names = docs.columns
     _, plan, prefix = selection(docs, seed=seed, **options)
     cuts = plan.join(prefix.groupBy("src").agg(F.max("key").alias("last_key")), "src", "left")
-    cuts = docs.sparkSession.createDataFrame(cuts.select("src", "whole", "last_key").collect(), "src string, whole long, last_key string")
+    rows = cuts.select("src", "whole", "last_key").collect()
+    cuts = docs.sparkSession.createDataFrame(rows, "src string, whole long, last_key string")
     own = docs.withColumn("__src", F.coalesce(F.col("source").cast("string"), F.lit("")))
     cuts = cuts.select(F.col("src").alias("__s"), F.col("whole").alias("__w"), F.col("last_key").alias("__k"))
     used = F.col("__w") + F.when(random_key(seed, F.col("__w"), F.col("__src"), F.col("doc_id")) <= F.col("__k"), 1).otherwise(0)
     blank = F.trim(F.translate("text", "\n\t\r\v\f", "     ")) == ""
-    # a row per source of the plan: small, and a hash join takes it where it isn't
-    joined = own.join(cuts, F.col("__src") == F.col("__s")).where(~F.coalesce(blank, F.lit(True))).withColumn("__u", used).where("__u > 0")
+    # a row per source of the plan; with very many sources the join is left to the optimizer
+    joined = own.join(F.broadcast(cuts) if len(rows) <= BROADCAST_SOURCES else cuts, F.col("__src") == F.col("__s")).where(~F.coalesce(blank, F.lit(True))).withColumn("__u", used).where("__u > 0")
     return joined.withColumn("__e", F.explode(F.sequence(F.lit(1), F.col("__u")))).select(*[F.col(f"`{n}`") for n in names])

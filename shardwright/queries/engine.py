@@ -66,10 +66,10 @@ def log_generations(spark, sf_dir):
     return log.generations(_records(spark, sf_dir), spark.createDataFrame([], catalog.OBJECTS))
 
 
-@query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS bytes FROM events GROUP BY 1, 2""")
+@query("""SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS bytes FROM events GROUP BY 1, 2""")
 def log_windowed_rates(spark, sf_dir):
     e = scan(spark, sf_dir, "events").select("ts", "event_type", F.round(F.col("value") * 100).cast("bigint").alias("size"))
-    return log.windowed_rates(e, "ts", "event_type", "size", width="1 hour").select("start", "event_type", "n", "bytes")
+    return log.windowed_rates(e, "ts", "event_type", "size", width="1 hour").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "bytes")
 
 
 @query()

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .text import Hasher, flat, groups, mix, release, runs, word_counts, words
 
-ORDER, BETA = 2, 8.0
+ORDER, BETA = 3, 8.0
 BLOCK_BYTES = 12 << 20
 SLICE_WORDS = 200_000
 LANE = 512

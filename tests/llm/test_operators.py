@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from shardwright.llm import license_scan, line_dedup, lm_score, media, mixing, near_dedup, packing, quality_rules, suffix_dedup, token_ids
+from shardwright.llm import license_scan, line_dedup, lm_score, media, mixing, near_dedup, packing, quality_rules, queries, suffix_dedup, token_ids
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket string, line string, src string, key string, h string, epoch string"
 
@@ -104,6 +104,15 @@ def test_lm_scores(docs, order):
     assert len(got[10]) == 2 and got[10][0].log_prob == got[10][1].log_prob
 
 
+def test_registered_order(spark, unique, tmp_path):
+    """The query scores with trigram states, not with neighbours alone."""
+    unique.write.parquet(f"{tmp_path}/documents.parquet")
+    scores = lambda df: {r.doc_id: r.log_prob for r in df.where("n_words > 0").collect()}
+    got = scores(queries.op1_lm_score(spark, str(tmp_path)))
+    want, less = (scores(lm_score.lm_scores(unique, order=order)) for order in (3, 2))
+    assert got == pytest.approx(want, rel=1e-9) and got[3] != pytest.approx(less[3], rel=1e-6)
+
+
 def test_empty_tables(empty):
     assert lm_score.lm_scores(empty).count() == 0 and suffix_dedup.repeated_passages(empty).count() == 0
 

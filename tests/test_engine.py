@@ -207,3 +207,18 @@ def test_replay_is_as_of(engine):
     assert {r.path for r in objects.where("not deleted").collect()} == set(FILES) - {"f000"}
     g = [r.generation for r in log.generations(engine.records(seq + 2, seq), engine.version(now["version"])[0]).orderBy("seq").collect()]
     assert g == [1, 2]
+
+
+def test_text_byte_shares(spark, tmp_path):
+    """The reference's size: 8192 bytes of the lower-cased text in 128 bins."""
+    from shardwright.queries import engine as queries
+
+    texts = {0: "Ab" * 40 + "z" * 9000, 1: "é" * 5000, 2: "x" * 64 + "Y" * 100, 3: "", 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.features for r in queries.text_byte_shares(spark, str(tmp_path)).collect()}
+    for i, text in texts.items():
+        raw = (text or "").encode().lower()[:8192]
+        want = [0.0] * 128
+        for b in raw:
+            want[b % 128] += 1 / len(raw)
+        assert got[i] == pytest.approx(want, abs=1e-9)

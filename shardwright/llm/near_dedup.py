@@ -28,7 +28,7 @@ from .components import components
 from .text import Hasher, mix, pieces, runs, words
 
 DF_BITS = 20
-K, THRESHOLD, BANDS, ROWS = 2, 0.5, 14, 3
+K, THRESHOLD, BANDS, ROWS = 2, 0.5, 20, 3
 DOC_LIMIT = 4096
 BROADCAST_BYTES = 64 << 20
 IDF_STEP = 128.0

@@ -481,6 +481,31 @@ def test_recall_of_pairs(unique):
     assert sum(group.get(a) is not None and group.get(a) == group.get(b) for a, b in want) >= 0.9 * len(want)
 
 
+def test_recall_just_above_the_threshold(spark):
+    """Lone pairs between 0.5 and 0.55: no third document links them."""
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(20_000)}"
+    texts = []
+    for _ in range(1500):
+        n = r.randint(50, 90)
+        a = [word() for _ in range(n)]
+        same = round(n * r.uniform(0.67, 0.73))
+        texts += [a, a[:same] + [word() for _ in range(n - same)]]
+    df = Counter(w for x in texts for w in set(x))
+    idf = lambda w: math.log((1 + len(texts)) / (1 + df[w])) + 1
+    vectors = [{s: c * sum(map(idf, s)) / 2 for s, c in Counter(zip(x, x[1:])).items()} for x in texts]
+    want = []
+    for i in range(0, len(texts), 2):
+        a, b = vectors[i : i + 2]
+        common = sum(min(w, b[s]) for s, w in a.items() if s in b)
+        if 0.502 <= common / (sum(a.values()) + sum(b.values()) - common) < 0.55:
+            want.append(i)
+    assert len(want) > 500
+    rows = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    group = {x.doc_id: x.group_id for x in near_dedup.near_duplicates(rows).collect()}
+    assert sum(group.get(i + 1) == i for i in want) >= 0.9 * len(want)
+
+
 def test_large_band_key_is_complete():
     """All pairs of a band key that may reach the threshold are joined, directly or by the first member."""
     r = np.random.default_rng(1)

@@ -2,8 +2,8 @@
 
 Every row has a random key. A source with budget b and t tokens gives all its documents b // t times, and from a last epoch, in
 the order of that epoch's keys, those before which fewer than b mod t tokens stand; take_tokens of the last one counts only
-what is left of the budget, so the sum is the budget to the token (the document itself stays whole). Prefix sums come from
-totals per key range, so no source is sorted as a whole.
+what is left of the budget, so the sum is the budget to the token; mix_documents cuts that document's text behind its last word
+that counts. Prefix sums come from totals per key range, so no source is sorted as a whole.
 
 Weights are those given, else proportional to tokens ** temperature. The budget is that given, else all tokens there are.
 
@@ -14,7 +14,7 @@ counts as ''. Empty tables give empty results. Columns epoch, prefix_tokens and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,7 @@ from .ranges import digits_for, random_key, token_counts
 
 SEED, TEMPERATURE = "mix", 0.7
 BROADCAST_SOURCES = 100_000
+SPACE, WORD = r"[\t-\r ]", r"[^\t-\r ]"
 PLAN = T.StructType([T.StructField("src", T.StringType()), T.StructField("whole", T.LongType()), T.StructField("rest", T.LongType())])
 
 
@@ -39,6 +40,14 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.withColumn("src", F.coalesce(F.col("source").cast("string"), F.lit("")))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """text up to the end of its n-th word; all of it if it has no more words than n."""
+    # a word with the white space behind it is a part, and so is white space before the first word
+    parts = F.split(text, rf"(?<={SPACE})(?={WORD})", -1)
+    n = n + F.when(text.rlike(f"^{SPACE}"), 1).otherwise(0)
+    return F.when(F.size(parts) <= n, text).otherwise(F.regexp_replace(F.array_join(F.slice(parts, F.lit(1), n.cast("int")), ""), rf"{SPACE}+\z", ""))
+
+
 def selection(docs: DataFrame, weights=None, budget=None, temperature: float = TEMPERATURE, seed: str = SEED):
     """(one row per document, source plan, prefix sums of the last epochs by key)."""
     spark = docs.sparkSession
@@ -73,16 +82,24 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
-    """The rows of docs, each as often as it is used. Only a cut per source reaches the scan; no text is shuffled."""
+    """The rows of docs, each as often as it is used. Only a cut per source reaches the scan; no text is shuffled.
+
+    The text of the last document of a source ends where its budget does, and n_chars is counted anew where it exists."""
     names = docs.columns
     _, plan, prefix = selection(docs, seed=seed, **options)
-    cuts = plan.join(prefix.groupBy("src").agg(F.max("key").alias("last_key")), "src", "left")
-    rows = cuts.select("src", "whole", "last_key").collect()
-    cuts = docs.sparkSession.createDataFrame(rows, "src string, whole long, last_key string")
+    last = prefix.groupBy("src").agg(F.max(F.struct("key", "prefix_tokens")).alias("m"))
+    cuts = plan.join(last, "src", "left")
+    rows = cuts.select("src", "whole", F.col("m.key"), F.col("rest") - F.col("m.prefix_tokens")).collect()
+    cuts = docs.sparkSession.createDataFrame([tuple(r) for r in rows], "__s string, __w long, __k string, __left long")
     own = docs.withColumn("__src", F.coalesce(F.col("source").cast("string"), F.lit("")))
-    cuts = cuts.select(F.col("src").alias("__s"), F.col("whole").alias("__w"), F.col("last_key").alias("__k"))
-    used = F.col("__w") + F.when(random_key(seed, F.col("__w"), F.col("__src"), F.col("doc_id")) <= F.col("__k"), 1).otherwise(0)
+    key = random_key(seed, F.col("__w"), F.col("__src"), F.col("doc_id"))
+    used = F.col("__w") + F.when(key <= F.col("__k"), 1).otherwise(0)
     blank = F.trim(F.translate("text", "\n\t\r\v\f", "     ")) == ""
     # a row per source of the plan; with very many sources the join is left to the optimizer
     joined = own.join(F.broadcast(cuts) if len(rows) <= BROADCAST_SOURCES else cuts, F.col("__src") == F.col("__s")).where(~F.coalesce(blank, F.lit(True))).withColumn("__u", used).where("__u > 0")
-    return joined.withColumn("__e", F.explode(F.sequence(F.lit(1), F.col("__u")))).select(*[F.col(f"`{n}`") for n in names])
+    each = joined.withColumn("__e", F.explode(F.sequence(F.lit(1), F.col("__u")))).withColumn("__cut", F.coalesce((key == F.col("__k")) & (F.col("__e") > F.col("__w")), F.lit(False)))
+    text = F.when(F.col("__cut"), first_words(F.col("text"), F.col("__left"))).otherwise(F.col("text"))
+    out = each.select(*[text.alias(n) if n == "text" else F.col(f"`{n}`") for n in names], "__cut")
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.col("__cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop("__cut")

@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shardwright.llm import license_scan, line_dedup, lm_score, media, mixing, near_dedup, packing, quality_rules, queries, suffix_dedup, token_ids
 
@@ -570,5 +571,28 @@ def test_mixing_spends_the_budget(unique):
     assert spent == {s: int(77_777 * w / 10) for s, w in (("s0", 1), ("s1", 2), ("s2", 3), ("", 4))}
 
 
+@pytest.mark.parametrize("weights", [{"s0": 1, "s1": 2, "s2": 3, "": 4}, {"s1": 1}])
+def test_mixed_documents_spend_the_budget(unique, weights):
+    """The stage's own texts add up to the budget; all but the last of each source are whole."""
+    texts, spent, cut = {r.doc_id: r.text for r in unique.collect()}, Counter(), Counter()
+    for r in mixing.mix_documents(unique, budget=77_777, weights=weights).collect():
+        spent[r.source or ""] += len(split(r.text))
+        if r.text != texts[r.doc_id]:
+            cut[r.source or ""] += 1
+            assert texts[r.doc_id].startswith(r.text) and r.n_chars == len(r.text)
+    assert spent == {s: int(77_777 * w / sum(weights.values())) for s, w in weights.items()}
+    assert cut and max(cut.values()) == 1
+
+
+def test_first_words(spark):
+    texts = ["a b c", " \n a\t\tb  c d\n", "a", "a b ", "é\x0bü\x0cñ ö", "w " * 30_000]
+    for n in (1, 2, 3):
+        got = spark.createDataFrame([(i, t, n) for i, t in enumerate(texts)], "i int, text string, n long").withColumn("out", mixing.first_words(F.col("text"), F.col("n"))).collect()
+        for r in got:
+            words = r.text.split()
+            assert r.out.split() == words[:n] and r.text.startswith(r.out)
+            assert r.out == r.text if len(words) <= n else not r.out[-1].isspace()
+
+
 def test_mixing_empty(empty):
     assert mixing.mix_report(empty).count() == 0 and mixing.mix_documents(empty).count() == 0

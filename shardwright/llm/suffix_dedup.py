@@ -81,6 +81,8 @@ def sort_directly(x: np.ndarray, at: np.ndarray, bits: int, depth: int) -> np.nd
     group = np.zeros(len(at), np.uint64)
     edge = runs(key)
     live = np.arange(len(at))
+    # group and two symbols may not fit in 64 bits together
+    wide = len(at).bit_length() + 2 * bits > 64
     while True:
         size = np.diff(edge)
         tied = np.repeat(size > 1, size)
@@ -89,11 +91,16 @@ def sort_directly(x: np.ndarray, at: np.ndarray, bits: int, depth: int) -> np.nd
         if t >= depth or not len(live):
             return at
         own = at[live]
-        key = (group << (b + b)) | (x[own + t] << b) | x[own + t + 1]
-        order = np.argsort(key)
+        pair = (x[own + t] << b) | x[own + t + 1]
+        if wide:
+            order = np.lexsort((pair, group))
+            pair, group = pair[order], group[order]
+            edge = np.concatenate([[0], np.flatnonzero((pair[1:] != pair[:-1]) | (group[1:] != group[:-1])) + 1, [len(pair)]])
+        else:
+            key = (group << (b + b)) | pair
+            order = np.argsort(key)
+            edge = runs(key[order])
         at[live] = own[order]
-        key = key[order]
-        edge = runs(key)
         t += 2
 
 

@@ -191,6 +191,16 @@ def test_suffix_array_is_sorted():
             assert lcp[i] == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+def test_wide_sort_keys():
+    """Groups and symbols that take more than 64 bits together are still sorted as a whole."""
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.integers(1, 4, 3000, dtype=np.uint64), np.zeros(64, np.uint64)])
+    at = np.arange(3000)
+    for bits in (2, 30, 32):
+        got = suffix_dedup.sort_directly(x, at.copy(), bits, 40)
+        assert got.tolist() == sorted(range(3000), key=lambda i: x[i : i + 64].tolist())
+
+
 def test_winnowing_keeps_every_window():
     for seed in range(30):
         r = random.Random(seed)

@@ -77,10 +77,11 @@ def roots(edges, nodes):
 # 1
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm_scores(docs, order):
+@pytest.mark.parametrize("order,fan", [(1, 4096), (2, 4096), (3, 4096), (3, 4), (2, 2)])
+def test_lm_scores(docs, order, fan):
+    """Blocks of 20 kB; with a small fan pieces are merged on the way."""
     got = defaultdict(list)
-    for row in lm_score.lm_scores(docs, order=order, block_bytes=20_000).collect():
+    for row in lm_score.lm_scores(docs, order=order, block_bytes=20_000, fan=fan).collect():
         got[row.doc_id].append(row)
     rows = [(r.doc_id, split(r.text)) for r in docs.collect()]
     grams = lambda s: Counter(tuple(s[i - m + 1 : i + 1]) for m in range(1, order + 1) for i in range(m - 1, len(s)))
@@ -126,19 +127,42 @@ def test_key_packing():
             assert (lm_score.unpacked_keys(lm_score.packed_keys(keys, base), base) == keys).all()
 
 
+def test_count_packing():
+    for counts in ([0], [254, 255, 256, 0, 1], [1 << 40, 3]):
+        raw = lm_score.packed_counts(np.array(counts))
+        assert lm_score.unpacked_counts(raw, len(counts)).tolist() == counts
+
+
+def test_repeated_rows_spread(spark):
+    """Half of all rows are one row; it doesn't gather in one block, and each of its rows scores alike."""
+    rows = [(1, "one two three four five six")] * 400 + [(i, f"one two w{i} four v{i}") for i in range(2, 402)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = lm_score.lm_scores(df, block_bytes=2000).collect()
+    assert len(got) == 800 and len({round(r.log_prob, 9) for r in got if r.doc_id == 1}) == 1
+
+
 def test_lm_is_a_distribution():
-    """Arcs and failure arcs of a state together give every known word and the unknown one their share: the sum is 1."""
+    """What the arcs of a state give, and its failure arc gives to all others, adds up to 1, each other document's words counted."""
     import pyarrow as pa
 
     from shardwright.llm.text import Hasher
 
-    texts = ["a b a c", "a b d", "b a b a"]
-    tokens, edge, _ = lm_score.sequences(pa.array(texts), Hasher())
-    keys, valid = lm_score.grams(tokens, edge, 2)
-    known, count = lm_score.distinct(np.concatenate([k[v] for k, v in zip(keys, valid)]))
+    texts, others = ["a b a c", "a b d", "b a b a"], ["a b c a b d", "b a c"]
+    tokens, edge, _ = lm_score.sequences(pa.array(texts + others), Hasher())
+    keys, valid = lm_score.grams(tokens, edge, 2, 64)
+    count, one, index = lm_score.indexed(np.concatenate([k[v] for k, v in zip(keys, valid)]))
+    names, seen = [], 0
+    for v in valid:
+        own = np.zeros(len(v), np.int32)
+        own[v] = index[seen : (seen := seen + int(v.sum()))]
+        names.append(own)
     n = int((np.diff(edge) - 1).sum())
-    auto = lm_score.Automaton(tokens, edge, keys, valid, {"keys": known, "counts": count + 0}, n, 8.0)
+    auto = lm_score.Automaton(edge, names, valid, count, n, 8.0)
     assert np.isfinite(auto.weight).all() and (auto.weight <= 1e-12).all() and (auto.fail_weight <= 0).all()
+    # the unigrams that the last document sees elsewhere, and the share of one unseen word
+    rest = n - (edge[-1] - edge[-2] - 1)
+    seen = {g: c for g, c in zip(names[0][edge[-2] :].tolist(), auto.count[auto.reads[0, edge[-2] :]].tolist())}
+    assert all(np.exp(auto.weight[auto.reads[0, edge[-2] + i]]) == pytest.approx(max(seen[g], 1) / (rest + 1)) for i, g in enumerate(names[0][edge[-2] :].tolist()))
 
 
 # 2

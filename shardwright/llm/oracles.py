@@ -33,32 +33,41 @@ FROM placed p JOIN bounds b ON p.bound = b.bound
 """
 
 
-def _quality(alpha: float = 0.05, delta: float = 0.05) -> str:
+def _quality(alpha: float = 0.05, delta: float = 0.05, cost: int = 19) -> str:
     ink = r"strlen(regexp_replace(text, '[ \t\n\r\f\v]', '', 'g'))"
-    share = lambda what: f"strlen(regexp_replace(text, '[^{what}]', '', 'g')) * 10000 // greatest({ink}, 1)"
+    share = lambda what: f"(strlen(regexp_replace(text, '[^{what}]', '', 'g')) * 10000 // greatest({ink}, 1))::INT"
+    part = lambda some, all_: f"(len({some}) * 10000 // greatest(len({all_}), 1))::INT"
+    rules = "symbol_share, upper_share, repeat_share, digit_share, line_repeat_share, long_word_share"
     return f"""
-WITH word AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, {WORDS.replace("text,", "coalesce(text, ''),")} AS w FROM documents),
-v AS (
-  SELECT doc_id, stratum,
-    ({share(r"#$%&*|!<>{{}}\[\]\^~=+_\\@/".replace("{{", "{").replace("}}", "}"))})::INT AS symbol_share, ({share("A-Z")})::INT AS upper_share,
-    (len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) * 10000 // greatest(len(w), 1))::INT AS repeat_share, ({share("0-9")})::INT AS digit_share
+WITH word AS (
+  SELECT doc_id, lang, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, {WORDS.replace("text,", "coalesce(text, ''),")} AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '[ \\t\\n\\r\\f\\v]', '', 'g') <> '') AS l FROM documents
+), v AS (
+  SELECT doc_id, lang, stratum, {share(r"#$%&*|!<>{{}}\[\]\^~=+_\\@/".replace("{{", "{").replace("}}", "}"))} AS symbol_share, {share("A-Z")} AS upper_share,
+    {part("list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])", "w")} AS repeat_share, {share("0-9")} AS digit_share,
+    ((len(l) - len(list_distinct(l))) * 10000 // greatest(len(l), 1))::INT AS line_repeat_share, {part("list_filter(w, lambda x: strlen(x) > 24)", "w")} AS long_word_share
   FROM word
-), truth AS (SELECT doc_id, max(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-seen AS (SELECT stratum, good, rule, value FROM (UNPIVOT v ON symbol_share, upper_share, repeat_share, digit_share INTO NAME rule VALUE value) JOIN truth USING (doc_id)),
-size AS (SELECT stratum, rule, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE NOT good) AS m FROM seen GROUP BY ALL),
+), truth AS (SELECT doc_id, max(quality) > 0 AS good, substr(md5('quality:' || doc_id), 1, 1) < '8' AS train FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+each AS (SELECT doc_id, stratum, rule, value FROM (UNPIVOT v ON {rules} INTO NAME rule VALUE value)),
+-- training: share of bad ones at or above each value, rising with the value
+spot AS (SELECT stratum, rule, value, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE NOT good) AS b FROM each JOIN truth USING (doc_id) WHERE train GROUP BY ALL),
+share AS (SELECT stratum, rule, value, sum(b) OVER w * 1000 // (sum(b) OVER w + sum(g) OVER w + 1) AS s FROM spot WINDOW w AS (PARTITION BY stratum, rule ORDER BY value DESC)),
+step AS (SELECT stratum, rule, value, max(s) OVER (PARTITION BY stratum, rule ORDER BY value) AS s FROM share),
+score AS (
+  SELECT doc_id, max(coalesce(s, 0))::INT AS score FROM each e ASOF LEFT JOIN step t ON e.stratum = t.stratum AND e.rule = t.rule AND e.value >= t.value GROUP BY doc_id
+),
+-- holdout: exact binomial tail
+held AS (SELECT stratum, score, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE NOT good) AS b FROM v JOIN score USING (doc_id) JOIN truth USING (doc_id) WHERE NOT train GROUP BY ALL),
+size AS (SELECT stratum, sum(g)::BIGINT AS n, sum(b) AS m FROM held GROUP BY ALL),
 tests AS (SELECT {delta} / count(*) AS d FROM size),
 tail AS (
-  SELECT stratum, rule, n, m, i, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha / 4}) + (n - i) * ln(1 - {alpha / 4}))) OVER (PARTITION BY stratum, rule ORDER BY i) AS p
-  FROM size, unnest(range(0, least(n, 20 + 2 * n // 50)::BIGINT)) AS u(i)
-), most AS (SELECT stratum, rule, n, m, max(i) AS k FROM tail, tests WHERE p <= d AND m > 0 GROUP BY ALL),
--- between two values that occur, the highest cutoff is the one below the upper value
-spot AS (SELECT stratum, rule, value, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE NOT good) AS b FROM seen GROUP BY ALL),
-above AS (SELECT stratum, rule, value - 1 AS cut, sum(g) OVER w AS g, sum(b) OVER w AS b FROM spot WINDOW w AS (PARTITION BY stratum, rule ORDER BY value DESC)),
-cutoff AS (
-  SELECT stratum, rule, arg_max(cut, (b - 20 * g, cut)) AS cut FROM above JOIN most USING (stratum, rule) WHERE g <= k AND cut >= 0 AND b - 20 * g > 0 GROUP BY ALL
-)
-SELECT v.doc_id, d.lang, symbol_share, upper_share, repeat_share, digit_share FROM v JOIN documents d USING (doc_id)
-WHERE NOT EXISTS (FROM cutoff c WHERE c.stratum = v.stratum AND cut < CASE rule WHEN 'symbol_share' THEN symbol_share WHEN 'upper_share' THEN upper_share WHEN 'repeat_share' THEN repeat_share ELSE digit_share END)
+  SELECT stratum, m, i, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}) + (n - i) * ln(1 - {alpha}))) OVER (PARTITION BY stratum ORDER BY i) AS p
+  FROM size, unnest(range(0, least(n, 20 + n // 10)::BIGINT)) AS u(i)
+), most AS (SELECT stratum, max(i) AS k FROM tail, tests WHERE p <= d AND m > 0 GROUP BY ALL),
+-- between two scores that occur, the highest cutoff is the one below the upper score
+above AS (SELECT stratum, score - 1 AS cut, sum(g) OVER w AS g, sum(b) OVER w AS b FROM held WINDOW w AS (PARTITION BY stratum ORDER BY score DESC)),
+cutoff AS (SELECT stratum, arg_max(cut, (b - {cost} * g, cut)) AS cut FROM above JOIN most USING (stratum) WHERE g <= k AND cut >= 0 AND b - {cost} * g > 0 GROUP BY ALL)
+SELECT doc_id, lang, {rules}, score FROM v JOIN score USING (doc_id) LEFT JOIN cutoff USING (stratum) WHERE score <= coalesce(cut, 1000)
 """
 
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 GROUP_BYTES = 1 << 20
+BROADCAST_BYTES = 64 << 20
 _P = 0x9E3779B97F4A7C15
 
 
@@ -219,3 +220,23 @@ def release() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
+
+
+def free_names(taken, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of `taken` has, whatever their case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        own = f"__{name}"
+        while own.lower() in used:
+            own += "_"
+        used.add(own.lower())
+        out.append(own)
+    return out
+
+
+def small(ids, limit: int = BROADCAST_BYTES):
+    """(ids, whether they take at most `limit` bytes): then with a broadcast hint, so that no text is shuffled to find them, else for a join by shuffle."""
+    from pyspark.sql import functions as F
+
+    fits = ids.count() * 16 <= limit
+    return (F.broadcast(ids) if fits else ids.hint("merge")), fits

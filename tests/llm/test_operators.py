@@ -428,14 +428,48 @@ def test_quality_rules(spark, docs, empty):
         labels.append((i, int(not bad), 0))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, symbol_share string")
     known = spark.createDataFrame([*labels, labels[0], (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
-    cutoffs = quality_rules.fit_cutoffs(df, known)
-    assert all(c.get("symbol_share") is not None for c in cutoffs.values()) and set(cutoffs) == {"en", "fr", ""}
-    kept = quality_rules.apply_rules(df, cutoffs)
+    scale = quality_rules.fit_cutoffs(df, known)
+    assert set(scale.cutoffs) == {"en", "fr", ""}
+    kept = quality_rules.apply_rules(df, scale)
     assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == {i for i in range(3000) if i % 5}
     # too few labels certify nothing
-    assert not any(quality_rules.fit_cutoffs(df, known.where("doc_id < 60")).values())
-    assert quality_rules.apply_rules(docs, quality_rules.fit_cutoffs(docs, known), values=True).count() == docs.count()
-    assert quality_rules.fit_cutoffs(empty, known) == {} and quality_rules.apply_rules(empty, {}).count() == 0
+    assert not quality_rules.fit_cutoffs(df, known.where("doc_id < 60")).cutoffs
+    # texts without a bad sign stay; a column that has the name of an internal one is passed on
+    odd = docs.withColumn("__stratum", F.lit("x"))
+    fitted = quality_rules.fit_cutoffs(odd, known)
+    assert quality_rules.apply_rules(odd, fitted, values=True).count() == docs.count() and quality_rules.apply_rules(odd, fitted).columns == odd.columns
+    assert not quality_rules.fit_cutoffs(empty, known).cutoffs and quality_rules.apply_rules(empty, quality_rules.Scale()).count() == 0
+
+
+def test_quality_oracle_rejects(spark):
+    """The registered query's SQL, on labels enough to certify, rejects the same documents; and it rejects some."""
+    import duckdb
+
+    from shardwright.llm.oracles import ORACLES
+
+    r = random.Random(9)
+    rows, labels = [], []
+    for i in range(2400):
+        w = [r.choice(["calm", "tree", "Rain", "of", "a1"]) for _ in range(20)]
+        if i % 4 == 0:
+            kind = i // 4 % 3
+            w = [x + "##" for x in w] if kind == 0 else [w[0]] * 20 if kind == 1 else [x.upper() for x in w]
+        rows.append((i, "\n".join([" ".join(w[:9]), " ".join(w[9:])]), "en" if i % 3 else None))
+        if i % 8 < 6:
+            labels.append((i, int(i % 4 != 0 or r.random() < 0.02), 0))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality_rules.apply_rules(docs, quality_rules.fit_cutoffs(docs, known), values=True).toPandas()
+    c = duckdb.connect()
+    c.register("documents", docs.toPandas())
+    c.register("labels", known.toPandas())
+    want = c.execute(ORACLES["op8_quality_rules"]).df()
+    key = lambda df: sorted(map(tuple, df[["doc_id", *quality_rules.RULES, "score"]].values.tolist()))
+    assert key(got) == key(want) and len(got) < 2400 - 300
+
+
+def test_rising_scores():
+    value, score = quality_rules.rising_scores(np.array([0, 3, 7, 9]), np.array([90, 10, 1, 0]), np.array([5, 0, 4, 6]))
+    assert value.tolist() == [0, 3, 7, 9] and score.tolist() == [15 * 1000 // 117, 10 * 1000 // 22, 10 * 1000 // 12, 857]
 
 
 def test_rule_values():
@@ -443,12 +477,14 @@ def test_rule_values():
 
     from shardwright.llm.text import Hasher
 
-    texts = ["ab$ CD 12", "a a a b", "", None, "é" * 10, "X" * 3_000_000, "$ " * 1_200_000]
+    texts = ["ab$ CD 12", "a a a b", "a b\nc\n\na b\na b " + "z" * 25, "", None, "é" * 10, "X" * 3_000_000, "$ " * 1_200_000]
     got = quality_rules.rule_values(pa.array(texts), Hasher())
     for t, v in zip(texts, got.tolist()):
         raw, w = (t or "").encode(), split(t)
         ink = max(1, sum(b not in b" \t\n\r\v\f" for b in raw))
         want = [sum(b in quality_rules.SYMBOLS for b in raw) * 10_000 // ink, sum(65 <= b <= 90 for b in raw) * 10_000 // ink, sum(a == b for a, b in zip(w, w[1:])) * 10_000 // max(1, len(w)), sum(48 <= b <= 57 for b in raw) * 10_000 // ink]
+        rows = [x for x in (t or "").split("\n") if split(x)]
+        want += [(len(rows) - len(set(rows))) * 10_000 // max(1, len(rows)), sum(len(x.encode()) > 24 for x in w) * 10_000 // max(1, len(w))]
         assert v == want
 
 

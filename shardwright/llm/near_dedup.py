@@ -8,12 +8,18 @@ connected components of verified pairs and of equal texts.
 IDF counts documents per word over the whole corpus, in 2**DF_BITS hash buckets, so that the table is broadcast at one size for
 any corpus; words that share a bucket share its count.
 
-Within a band key all pairs are covered without a cap: members whose estimate to the smallest doc_id is clear link to it,
-every other member is compared with all members.
+Within a band key pairs are found without a cap: members whose estimate to the first one is clear link to it, every other member is compared with
+all members. Where a clear pair then fails the exact test, its member is compared with all members of its band keys, too. A band key of more than HOT
+texts is spread first: each member meets the first one by a join, clear ones link to it, and all go apart by each of SPLITS other samples, so that a
+pair of similarity s comes together again but for a chance of (1 - s) ** SPLITS (one in 65,536 at 0.5); there members that aren't clear are held
+and all others stream past them.
+
+What can be missed: pairs that share no band key ((1 - s ** 3) ** 20: 0.07 at s = 0.5, 0.008 at 0.6), and pairs whose estimate lies more than three standard
+errors below the threshold (at most 0.0014, as the estimate of a pair at the threshold is binomial).
 
 Cases: documents without a word (null, empty or blank) and those with a null doc_id belong to no group. Rows with the same doc_id
-are one document and stay or go together. Of a group the smallest doc_id stays. An empty table gives an empty result. Only doc_id and text
-are read, so other columns cannot clash.
+are one document, with all their texts, and stay or go together. Of a group the smallest doc_id stays. An empty table gives an empty result. Only doc_id
+and text are read, and other columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,12 +31,13 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 from .components import components
-from .text import Hasher, mix, pieces, runs, words
+from .text import BROADCAST_BYTES, Hasher, free_names, mix, pieces, runs, small, words
 
 DF_BITS = 20
 K, THRESHOLD, BANDS, ROWS = 2, 0.5, 20, 3
 DOC_LIMIT = 4096
-BROADCAST_BYTES = 64 << 20
+HOT, SPLITS = 20_000, 16
+PAIRS = 1 << 18
 IDF_STEP = 128.0
 STEP = np.uint64(0xD6E8FEB86659FD93)
 ELEMENT = np.uint64((1 << 52) - 1)
@@ -148,8 +155,12 @@ class Sampler:
         return out
 
 
+def node_of(text) -> F.Column:
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long").alias("node")
+
+
 def signature_rows(docs: DataFrame, codes, k: int, samples: int) -> DataFrame:
-    """(doc_id, digest of the text, signature) of the documents with a word."""
+    """(doc_id, node, signature) of the documents with a word; node is half the digest of the text."""
 
     def sign(batches):
         hasher, sampler, table = Hasher(), Sampler(samples), codes.value
@@ -164,10 +175,10 @@ def signature_rows(docs: DataFrame, codes, k: int, samples: int) -> DataFrame:
             if ids:
                 rows = pa.array(np.concatenate(ids))
                 raw = pa.py_buffer(np.ascontiguousarray(np.concatenate(sigs)))
-                yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * samples), len(rows), [None, raw]).cast(pa.binary())], ["doc_id", "digest", "sig"])
+                yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * samples), len(rows), [None, raw]).cast(pa.binary())], ["doc_id", "node", "sig"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("digest"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return source.mapInArrow(sign, "doc_id long, digest binary, sig binary")
+    source = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), node_of("text"), "text")
+    return source.mapInArrow(sign, "doc_id long, node long, sig binary")
 
 
 def band_rows(batches, bands: int, rows: int):
@@ -180,50 +191,112 @@ def band_rows(batches, bands: int, rows: int):
             key = np.full(n, b + 1, np.uint64)
             for c in range(b * rows, b * rows + rows):
                 key = mix(key * STEP + sig[:, c].astype(np.uint64))
-            yield pa.record_batch([pa.array(key.view(np.int64)), batch.column(0), small], ["band", "doc_id", "low"])
+            yield pa.record_batch([pa.array(key.view(np.int64)), batch.column(0), small], ["band", "node", "low"])
+
+
+def split_rows(batches, splits: int, clear: float):
+    """(band, node, low, first, first's low) to longer keys by other samples; calm members are those that link to the first one."""
+    for batch in batches:
+        n = batch.num_rows
+        low, first = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, -1) for c in (2, 4))
+        calm = pa.array((low == first).mean(1) >= clear) if n else pa.array([], pa.bool_())
+        band = np.asarray(batch.column(0)).view(np.uint64)
+        samples = low.shape[1] if n else 1
+        for i in range(splits):
+            key = mix(mix(band * STEP + np.uint64(i + 1)) + (low[:, (i * samples // splits + 1) % samples].astype(np.uint64) if n else np.zeros(0, np.uint64)))
+            yield pa.record_batch([pa.array(key.view(np.int64)), calm, batch.column(1), batch.column(2)], ["band", "calm", "node", "low"])
+
+
+def first_pairs(batches, clear: float):
+    """Links of the calm members of hot band keys to the first one."""
+    for batch in batches:
+        n = batch.num_rows
+        low, first = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, -1) for c in (2, 4))
+        a, b = np.asarray(batch.column(3)), np.asarray(batch.column(1))
+        own = ((low == first).mean(1) >= clear) & (a != b) if n else np.zeros(0, bool)
+        yield pa.record_batch([pa.array(a[own]), pa.array(b[own]), pa.array(np.ones(own.sum(), bool))], ["a", "b", "star"])
+
+
+class PairWriter:
+    """Pairs in batches of bounded size."""
+
+    def __init__(self) -> None:
+        self.parts, self.size = [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, star: bool) -> None:
+        if len(a):
+            self.parts.append((a, b, np.full(len(a), star)))
+            self.size += len(a)
 
+    def take(self, least: int = 1):
+        if self.size >= least:
+            a, b, star = (np.concatenate(x) for x in zip(*self.parts))
+            self.parts, self.size = [], 0
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(star)], ["a", "b", "star"])
 
-def bucket_pairs(ids: np.ndarray, low: np.ndarray, least: float, clear: float):
+
+def bucket_pairs(ids: np.ndarray, low: np.ndarray, least: float, clear: float, out: PairWriter):
     """Pairs of one band key whose estimate is at least `least`; members with a `clear` estimate to the first one link to it alone."""
     alike = (low == low[0]).mean(1)
     star = np.flatnonzero(alike[1:] >= clear) + 1
-    yield np.full(len(star), ids[0]), ids[star]
+    out.add(np.full(len(star), ids[0]), ids[star], True)
     for i in np.flatnonzero(alike < clear):
-        est = (low == low[i]).mean(1)
-        other = np.flatnonzero(est >= least)
+        other = np.flatnonzero((low == low[i]).mean(1) >= least)
         other = other[other != i]
-        a, b = np.minimum(ids[i], ids[other]), np.maximum(ids[i], ids[other])
-        yield a, b
+        out.add(np.full(len(other), ids[i]), ids[other], False)
+        yield from out.take(PAIRS)
 
 
-def candidate_pairs(batches, least: float, clear: float):
-    """Batches sorted by (band, doc_id) to pairs; a band key may span batches."""
-    rest = None
+def seeking_pairs(batches, least: float):
+    """Batches sorted by (band, calm) to pairs of members that aren't calm with all members; only the former are held."""
+    out, now, held = PairWriter(), None, None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if rest is not None:
-            table = pa.concat_tables([rest, table])
-        band = np.asarray(table.column(0))
-        edge = runs(band)
-        rest = table.slice(int(edge[-2])) if len(edge) > 1 else None
-        yield _pairs_of(table.slice(0, int(edge[-2])) if len(edge) > 1 else table, least, clear)
-    if rest is not None:
-        yield _pairs_of(rest, least, clear)
+        band, calm, ids = (np.asarray(batch.column(c)) for c in range(3))
+        low = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(ids), -1)
+        edge = np.concatenate([[0], np.flatnonzero((band[1:] != band[:-1]) | (calm[1:] != calm[:-1])) + 1, [len(band)]]) if len(band) else [0]
+        for a, b in zip(edge[:-1], edge[1:]):
+            if band[a] != now:
+                now, held = band[a], (ids[:0], low[:0])
+            if not calm[a]:
+                held = np.concatenate([held[0], ids[a:b]]), np.concatenate([held[1], low[a:b]])
+            for x, own in zip(*held):
+                other = np.flatnonzero((low[a:b] == own).mean(1) >= least) + a
+                other = other[ids[other] != x]
+                out.add(np.full(len(other), x), ids[other], False)
+                yield from out.take(PAIRS)
+    yield from out.take()
+
+
+def whole_bands(batches):
+    """Tables of whole band keys, from batches sorted by band; each batch is held once."""
+    held = []
+    for batch in batches:
+        band = np.asarray(batch.column(0))
+        if not len(band):
+            continue
+        cut = int(np.searchsorted(band, band[-1]))
+        if cut or (held and held[-1].column(0)[0].as_py() != band[0]):
+            if cut:
+                held.append(batch.slice(0, cut))
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def _pairs_of(table: pa.Table, least: float, clear: float) -> pa.RecordBatch:
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if table.num_rows:
+def candidate_pairs(batches, least: float, clear: float):
+    """Batches sorted by (band, node) to pairs."""
+    out = PairWriter()
+    for table in whole_bands(batches):
         band, ids = np.asarray(table.column(0)), np.asarray(table.column(1))
         low = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
         edge = runs(band)
         for g in np.flatnonzero(np.diff(edge) > 1):
             a, b = edge[g], edge[g + 1]
-            for x, y in bucket_pairs(ids[a:b], low[a:b], least, clear):
-                left.append(x), right.append(y)
-    a, b = np.concatenate(left), np.concatenate(right)
-    apart = a != b
-    return pa.record_batch([pa.array(a[apart]), pa.array(b[apart])], ["a", "b"])
+            yield from bucket_pairs(ids[a:b], low[a:b], least, clear, out)
+        yield from out.take(PAIRS)
+    yield from out.take()
 
 
 def similarities(left, right, codes: np.ndarray, k: int, hasher: Hasher) -> np.ndarray:
@@ -244,16 +317,12 @@ def similarities(left, right, codes: np.ndarray, k: int, hasher: Hasher) -> np.n
     return out
 
 
-def small(ids: DataFrame) -> DataFrame:
-    """ids with a broadcast hint if they take at most BROADCAST_BYTES, so that no text is shuffled to find them; else for a join by shuffle."""
-    return F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids.hint("merge")
-
-
 def verified_pairs(docs: DataFrame, pairs: DataFrame, codes, k: int, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs that reach the threshold."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    left, right = (texts.withColumnsRenamed({"doc_id": x, "text": f"t{x}"}).hint("merge") for x in "ab")
+    """(a, b, similarity) of the pairs of nodes that reach the threshold."""
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-ids")
+    known = docs.where("doc_id is not null and text is not null").select(node_of("text"), "text")
+    texts = known.join(small(ids)[0], "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    left, right = (texts.withColumnsRenamed({"node": x, "text": f"t{x}"}).hint("merge") for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
 
     def verify(batches):
@@ -266,7 +335,42 @@ def verified_pairs(docs: DataFrame, pairs: DataFrame, codes, k: int, threshold:
     return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def similar_pairs(docs: DataFrame, texts: DataFrame, codes, k: int, threshold: float, bands: int, rows: int, hot: int = HOT) -> DataFrame:
+    """(a, b): similar pairs of texts (node, sig), enough of them to connect each group."""
+    samples = bands * rows
+    error = (threshold * (1 - threshold) / samples) ** 0.5
+    least, clear = threshold - 3 * error, threshold + 2 * error
+    links, member = "a long, b long, star boolean", "band long, calm boolean, node long, low binary"
+    banded = texts.select("node", "sig").mapInArrow(lambda x: band_rows(x, bands, rows), "band long, node long, low binary")
+    seek = lambda df: df.repartition("band").sortWithinPartitions("band", "calm").mapInArrow(lambda x: seeking_pairs(x, least), links)
+    often = materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("band"), "near-hot")
+    calm, pairs = banded, None
+    if not often.isEmpty():
+        keys = small(often)[0]
+        own = banded.join(keys, "band", "left_semi")
+        first = materialize(own.groupBy("band").agg(F.min(F.struct("node", "low")).alias("f")).select("band", F.col("f.node").alias("first"), F.col("f.low").alias("first_low")), "near-first")
+        own = own.join(F.broadcast(first) if first.count() * 200 <= BROADCAST_BYTES else first, "band").select("band", "node", "low", "first", "first_low")
+        spread = own.mapInArrow(lambda x: split_rows(x, SPLITS, clear), member)
+        calm = banded.join(keys, "band", "left_anti")
+        pairs = seek(spread).unionByName(own.mapInArrow(lambda x: first_pairs(x, clear), links))
+    found = calm.repartition("band").sortWithinPartitions("band", "node").mapInArrow(lambda x: candidate_pairs(x, least, clear), links)
+    found = (found if pairs is None else found.unionByName(pairs)).groupBy("a", "b").agg(F.max("star").alias("star"))
+    pairs = materialize(found, "near-pairs")
+    edges = materialize(verified_pairs(docs, pairs, codes, k, threshold).select("a", "b"), "near-edges")
+    # members that failed against the first one of a band key were compared with no other there: now they are
+    lost = pairs.where("star").join(edges, ["a", "b"], "left_anti")
+    lost = materialize(lost.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-lost")
+    if lost.isEmpty():
+        return edges
+    own = small(lost)[0]
+    where = banded.join(own, "node", "left_semi").select("band").distinct()
+    rest = banded.join(small(materialize(where, "near-lost-bands"))[0], "band", "left_semi")
+    again = seek(rest.join(own.withColumn("calm", F.lit(False)), "node", "left").select("band", F.coalesce("calm", F.lit(True)).alias("calm"), "node", "low"))
+    more = materialize(again.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "near-more")
+    return edges.unionByName(materialize(verified_pairs(docs, more, codes, k, threshold).select("a", "b"), "near-more-edges"))
+
+
+def near_duplicates(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, hot: int = HOT) -> DataFrame:
     """(doc_id, group_id, copy_of, kept) of the documents that have an exact or near copy.
 
     group_id is the smallest doc_id of the group, the one that is kept; copy_of is the smallest doc_id with the same text.
@@ -274,30 +378,26 @@ def near_duplicates(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, b
     spark = docs.sparkSession
     df, n = document_frequencies(docs)
     codes = spark.sparkContext.broadcast(idf_codes(df, n))
-    samples = bands * rows
-    signed = materialize(signature_rows(docs, codes, k, samples), "near-signatures")
-    first = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "sig")).alias("m"), F.count(F.lit(1)).alias("n"))
-    texts = materialize(first.select("digest", F.col("m.doc_id").alias("doc_id"), F.col("m.sig").alias("sig"), "n"), "near-texts")
-    error = (threshold * (1 - threshold) / samples) ** 0.5
-    least, clear = threshold - 3 * error, threshold + 2 * error
-    banded = texts.select("doc_id", "sig").mapInArrow(lambda x: band_rows(x, bands, rows), "band long, doc_id long, low binary")
-    pairs = banded.repartition("band").sortWithinPartitions("band", "doc_id").mapInArrow(lambda x: candidate_pairs(x, least, clear), "a long, b long")
-    pairs = materialize(pairs.distinct(), "near-pairs")
-    edges = materialize(verified_pairs(docs, pairs, codes, k, threshold).select("a", "b"), "near-edges")
+    signed = materialize(signature_rows(docs, codes, k, bands * rows), "near-signatures")
+    texts = materialize(signed.groupBy("node").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("n")), "near-texts")
+    edges = similar_pairs(docs, texts, codes, k, threshold, bands, rows, hot)
+    # the texts of a repeated doc_id belong together
+    several = materialize(signed.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a"), "near-several")
+    if not several.isEmpty():
+        edges = edges.unionByName(signed.join(small(several)[0], "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct())
     roots = components(edges)
-    repeated = texts.where("n > 1").select("digest", F.col("doc_id").alias("copy_of"))
-    copies = signed.select("digest", "doc_id").join(repeated, "digest").select("doc_id", "copy_of")
-    linked = roots.select(F.col("node").alias("copy_of"), "root")
-    exact = copies.join(linked, "copy_of", "left").select("doc_id", F.coalesce("root", "copy_of").alias("group_id"), "copy_of")
-    alone = roots.join(copies.select(F.col("doc_id").alias("node")), "node", "left_anti").select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), F.col("node").alias("copy_of"))
+    repeated = texts.where("n > 1").select("node")
+    known = materialize(repeated.join(roots, "node", "full_outer").select("node", F.coalesce("root", "node").alias("root")), "near-known")
+    listed = materialize(signed.select("doc_id", "node").join(small(known)[0], "node"), "near-listed")
+    copies = listed.groupBy("node").agg(F.min("doc_id").alias("copy_of"))
     # a repeated row alone makes no group
-    listed = exact.unionByName(alone).groupBy("doc_id").agg(F.min("group_id").alias("group_id"), F.min("copy_of").alias("copy_of"))
-    real = listed.where("doc_id <> group_id").select("group_id").distinct()
-    out = listed.join(real, "group_id", "left_semi").select("doc_id", "group_id", "copy_of")
+    groups = listed.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.max("doc_id").alias("z")).where("group_id <> z").drop("z")
+    out = listed.join(copies, "node").join(groups, "root").groupBy("doc_id").agg(F.min("group_id").alias("group_id"), F.min("copy_of").alias("copy_of"))
     return out.withColumn("kept", F.col("doc_id") == F.col("group_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each group."""
-    gone = materialize(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone")), "near-gone")
-    return docs.join(small(gone), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    (name,) = free_names(docs.columns, "gone")
+    gone = materialize(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias(name)), "near-gone")
+    return docs.join(small(gone)[0], F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -577,17 +577,61 @@ def test_recall_just_above_the_threshold(spark):
     assert sum(group.get(i + 1) == i for i in want) >= 0.9 * len(want)
 
 
+def joined(pairs, n):
+    return roots([(min(x, y), max(x, y)) for b in pairs for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], range(n))
+
+
 def test_large_band_key_is_complete():
-    """All pairs of a band key that may reach the threshold are joined, directly or by the first member."""
+    """All pairs of a band key that may reach the threshold are joined, directly or by the first member; also where members are held and others stream."""
+    import pyarrow as pa
+
     r = np.random.default_rng(1)
     base = r.integers(0, 256, (3, 42), dtype=np.uint8)
     low = base[np.arange(60) % 3].copy()
     low[r.random((60, 42)) < 0.15] = 7
-    edges = [(int(x), int(y)) for a, b in near_dedup.bucket_pairs(np.arange(60), low, 0.3, 0.65) for x, y in zip(a, b)]
-    root = roots(edges, range(60))
+    ids = pa.array(np.arange(60))
+    raw = pa.array([x.tobytes() for x in low], pa.binary())
+    table = pa.record_batch([pa.array([5] * 60, pa.int64()), ids, raw], ["band", "node", "low"])
+    root = joined(near_dedup.candidate_pairs([table.slice(0, 7), table.slice(7, 0), table.slice(7)], 0.3, 0.65), 60)
+    calm = np.arange(60) >= 40
+    table = pa.record_batch([pa.array([5] * 60, pa.int64()), pa.array(calm), ids, raw], ["band", "calm", "node", "low"])
+    got = {(min(x, y), max(x, y)) for b in near_dedup.seeking_pairs([table.slice(0, 13), table.slice(13, 30), table.slice(43)], 0.5) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
     for i, j in combinations(range(60), 2):
         if (low[i] == low[j]).mean() >= 0.5:
             assert root[i] == root[j]
+            assert ((i, j) in got) == (i < 40)
+
+
+def test_hot_band_keys(spark):
+    """Half of all texts are alike enough to share band keys; hot keys are spread and the groups stay the same."""
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(4000)}"
+    base = [word() for _ in range(60)]
+    rows = []
+    for i in range(240):
+        w = list(base) if i % 2 else [word() for _ in range(60)]
+        for _ in range(r.randint(0, 8)):
+            w[r.randrange(60)] = word()
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs, ids = brute_pairs(rows, near_dedup.K)
+    root = roots([p for p, s in pairs.items() if s >= near_dedup.THRESHOLD], ids)
+    size = Counter(root.values())
+    want = {i: g for i, g in root.items() if size[g] > 1}
+    for hot in (near_dedup.HOT, 10):
+        got = {x.doc_id: x.group_id for x in near_dedup.near_duplicates(df, hot=hot).collect()}
+        assert set(got) <= set(want) and sum(got.get(i) == g for i, g in want.items()) >= 0.97 * len(want) > 100
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """A doc_id with two texts is one document: copies of either text join its group."""
+    long = lambda a: " ".join(f"{a}{i}" for i in range(40))
+    rows = [(1, long("a")), (1, long("b")), (2, long("b")), (3, long("a") + " end"), (4, long("c")), (5, long("d")), (5, long("d"))]
+    df = spark.createDataFrame([(*x, "g", 1, 2) for x in rows], "doc_id long, text string, __gone string, node int, root int")
+    got = {x.doc_id: (x.group_id, x.copy_of) for x in near_dedup.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3)}
+    kept = near_dedup.drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted(x.doc_id for x in kept.collect()) == [1, 1, 4, 5, 5]
 
 
 # 10

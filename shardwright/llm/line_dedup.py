@@ -6,8 +6,7 @@ as text, and given a first occurrence.
 
 Cases: blank lines always stay. A null text counts as one with no line and stays null. A null doc_id sorts first. Rows with the same
 doc_id and text are one document and get the same result. A document that loses all its lines has the text '' (or is
-dropped with drop_emptied). Other columns are passed on, n_chars is counted anew where it exists; columns of the input that
-are named like internal ones cannot clash, as the input is only joined by position of its own names.
+dropped with drop_emptied). Other columns are passed on, whatever their names; n_chars is counted anew where it exists.
 """
 
 from __future__ import annotations
@@ -18,10 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Hasher, flat, lines, mix, pieces, runs, take_spans
+from .text import BROADCAST_BYTES, Hasher, flat, free_names, lines, mix, pieces, runs, take_spans
 
 SEGMENT_BITS = 1 << 20
-BROADCAST_BYTES = 64 << 20
 BITS_PER_LINE = 12
 PROBES = 4
 
@@ -41,11 +39,13 @@ class TwoBlooms:
     def __init__(self, segments: int) -> None:
         self.segments, self.once, self.twice = segments, {}, {}
 
-    def add(self, hashes: np.ndarray) -> None:
-        """Hashes of one batch. Those that repeat in the batch, and those whose bits are all set in A, go to B."""
-        hashes = np.sort(hashes)
-        at = runs(hashes)
-        count, hashes = np.diff(at), hashes[at[:-1]]
+    def add(self, hashes: np.ndarray, twice: np.ndarray | None = None) -> None:
+        """Hashes of one batch. Those that repeat in the batch, are known as seen twice, or whose bits are all set in A, go to B."""
+        by = np.argsort(hashes)
+        at = runs(hashes[by])
+        count, hashes = np.diff(at), hashes[by[at[:-1]]] if len(by) else hashes
+        if twice is not None and len(by):
+            count = count + np.maximum.reduceat(twice[by].astype(np.int64), at[:-1])
         segment, bits = bit_positions(hashes, self.segments)
         order = np.argsort(segment, kind="stable")
         segment, bits, count = segment[order], bits[order], count[order]
@@ -117,8 +117,9 @@ def suspect_lines(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Da
     """Lines that may occur more than once (SUSPECTS).
 
     The filters take BITS_PER_LINE bits a line. Up to broadcast_bytes filter B is broadcast. Beyond that the filters stay
-    apart: line hashes go to the owner of their segment, which builds both filters for its own range, and only the places
-    of suspected lines return to their documents.
+    apart: line hashes go to the owner of their range, which builds both filters for it, and only the places of suspected lines
+    return to their documents. Of equal lines in a slice of 4 MB of text only the first goes to the owner, with the
+    news that it was seen twice; the others are suspected as they are, so a line that is everywhere fills no owner.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
@@ -150,24 +151,39 @@ def suspect_lines(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Da
         hasher = Hasher()
         for batch in pieces(batches, 1):
             hashes, doc, number, *_ = lines(batch.column(1), hasher)
-            yield pa.record_batch([pa.array(hashes.view(np.int64)), batch.column(0).take(pa.array(doc)), batch.column(2).take(pa.array(doc)), pa.array(number, pa.int32())], ["h", "doc_id", "text_hash", "line_no"])
+            by = np.argsort(hashes, kind="stable")
+            edge = runs(hashes[by])
+            first = np.zeros(len(hashes), bool)
+            first[by[edge[:-1]]] = True
+            twice = np.zeros(len(hashes), bool)
+            twice[by] = np.repeat(np.diff(edge) > 1, np.diff(edge))
+            # suspected as they are: spread by their place
+            owner = np.where(first, hashes, mix(hashes + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + number.astype(np.uint64)))
+            yield pa.record_batch(
+                [pa.array(owner.view(np.int64)), pa.array(first), pa.array(twice), batch.column(0).take(pa.array(doc)), batch.column(2).take(pa.array(doc)), pa.array(number, pa.int32())],
+                ["h", "first", "twice", "doc_id", "text_hash", "line_no"],
+            )
 
     def check(batches):
-        kept = list(batches)
-        total = sum(b.num_rows for b in kept)
-        own = max(1, -(-total * BITS_PER_LINE // SEGMENT_BITS))
-        filters = TwoBlooms(own)
+        # only first places have a say; they are as many as a slice has distinct lines
+        kept = []
+        for batch in batches:
+            first = batch.column(1)
+            yield batch.filter(pc.invert(first)).select(["doc_id", "text_hash", "line_no"])
+            kept.append(batch.filter(first))
+        filters = TwoBlooms(max(1, -(-sum(b.num_rows for b in kept) * BITS_PER_LINE // SEGMENT_BITS)))
         for b in kept:
-            filters.add(np.asarray(b.column(0)).view(np.uint64))
-        bits = np.zeros((own, SEGMENT_BITS // 8), np.uint8)
+            filters.add(np.asarray(b.column(0)).view(np.uint64), np.asarray(b.column(2)))
+        bits = np.zeros((filters.segments, SEGMENT_BITS // 8), np.uint8)
         for s, v in filters.twice.items():
             bits[s] = np.packbits(v)
         for b in kept:
-            hit = suspected(np.asarray(b.column(0)).view(np.uint64), own, bits.ravel())
+            hit = suspected(np.asarray(b.column(0)).view(np.uint64), filters.segments, bits.ravel())
             yield b.filter(pa.array(hit)).select(["doc_id", "text_hash", "line_no"])
 
     parts = max(spark.sparkContext.defaultParallelism, -(-count // 4_000_000))
-    found = source.mapInArrow(places, "h long, doc_id long, text_hash long, line_no int").repartition(parts, "h").mapInArrow(check, "doc_id long, text_hash long, line_no int").distinct()
+    placed = source.mapInArrow(places, "h long, first boolean, twice boolean, doc_id long, text_hash long, line_no int")
+    found = placed.repartition(parts, "h").mapInArrow(check, "doc_id long, text_hash long, line_no int").distinct()
     owners = found.groupBy("doc_id", "text_hash").agg(F.collect_list("line_no").alias("at")).withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
     texts = source.join(owners, source.doc_id.eqNullSafe(owners.d) & (source.text_hash == owners.t)).select("doc_id", "text", "text_hash", "at")
 
@@ -211,15 +227,16 @@ def without_lines(batches):
 def dedup_lines(docs: DataFrame, drop_emptied: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The documents without repeated lines, columns as in docs. drop_emptied: without those that had lines and lost all of them."""
     names = docs.columns
-    gone = repeated_lines(docs, broadcast_bytes).groupBy("doc_id", "text_hash").agg(F.array_distinct(F.collect_list("line_no")).alias("__gone")).withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"})
+    doc, hashed, own, gone, cut = free_names(names, "doc", "hash", "own", "gone", "cut")
+    drop = repeated_lines(docs, broadcast_bytes).groupBy(F.col("doc_id").alias(doc), F.col("text_hash").alias(hashed)).agg(F.array_distinct(F.collect_list("line_no")).alias(gone))
     rest = [n for n in names if n != "text"]
-    own = docs.select("text", *[F.col(f"`{n}`") for n in rest], F.xxhash64("text").alias("__own"))
-    joined = own.join(gone, F.col("doc_id").cast("long").eqNullSafe(gone["__doc"]) & (F.col("__own") == gone["__hash"]), "left")
-    edited = joined.select("text", *[F.col(f"`{n}`") for n in rest], F.col("__gone").isNotNull().alias("__cut"), "__gone")
-    schema = edited.drop("__gone").schema
-    out = edited.mapInArrow(without_lines, schema)
+    texts = docs.select("text", *[F.col(f"`{n}`") for n in rest], F.xxhash64("text").alias(own))
+    joined = texts.join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(hashed)), "left")
+    edited = joined.select("text", *[F.col(f"`{n}`") for n in rest], F.col(gone).isNotNull().alias(cut), gone)
+    out = edited.mapInArrow(without_lines, edited.drop(gone).schema)
     if drop_emptied:
-        out = out.where(~(F.col("__cut") & (F.trim(F.translate("text", "\n\t\r", "   ")) == "")))
+        # blank as the kernel has it: ASCII white space only
+        out = out.where(~(F.col(cut) & (F.trim(F.translate("text", "\n\t\r\v\f", "     ")) == "")))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{n}`") for n in names])

@@ -9,31 +9,39 @@ Weights are those given, else proportional to tokens ** temperature. The budget
 
 Cases: a null source is a source of its own, ''. Documents without a word have no tokens and are left out. Sources without tokens give
 nothing and their weight is shared by the others. Rows with equal keys (repeated doc_ids of one source) enter together or not at all. A null doc_id
-counts as ''. Empty tables give empty results. Columns epoch, prefix_tokens and take_tokens of the report replace those of docs.
+counts as ''. Empty tables give empty results. Columns epoch, prefix_tokens and take_tokens of the report replace those of docs; mix_documents
+passes all columns on, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..storage import materialize
 from .ranges import digits_for, random_key, token_counts
+from .text import free_names
 
 SEED, TEMPERATURE = "mix", 0.7
 BROADCAST_SOURCES = 100_000
 SPACE, WORD = r"[\t-\r ]", r"[^\t-\r ]"
-PLAN = T.StructType([T.StructField("src", T.StringType()), T.StructField("whole", T.LongType()), T.StructField("rest", T.LongType())])
 
 
-def source_plan(counts: DataFrame, weights: dict[str, float] | None, budget: int | None, temperature: float) -> list[tuple[str, int, int]]:
-    """(source, whole epochs, tokens of the last epoch). One row a source on the driver."""
-    totals = {r.src: r.t for r in counts.groupBy("src").agg(F.sum("n_tokens").alias("t")).toLocalIterator() if r.t}
-    share = {s: (weights.get(s, 0.0) if weights else t**temperature) for s, t in totals.items()}
-    whole = sum(share.values())
-    total = budget if budget is not None else sum(totals.values())
-    return [(s, *divmod(int(total * share[s] / whole), totals[s])) for s in sorted(totals) if whole and share[s] > 0]
+def source_plan(counts: DataFrame, weights: dict[str, float] | None, budget: int | None, temperature: float) -> DataFrame:
+    """(src, whole, rest): whole epochs and tokens of the last epoch of each source that gives any; a small table, written, never on the driver."""
+    spark = counts.sparkSession
+    totals = materialize(counts.groupBy("src").agg(F.sum("n_tokens").alias("t")).where("t > 0"), "mix-totals")
+    if weights:
+        given = spark.createDataFrame([(k, float(v)) for k, v in sorted(weights.items())], "src string, share double")
+        shared = totals.join(given, "src").where("share > 0")
+    else:
+        shared = totals.withColumn("share", F.pow(F.col("t").cast("double"), F.lit(float(temperature))))
+    # sums in the order of the sources, so that rounding is the same everywhere
+    ordered = F.aggregate(F.array_sort(F.collect_list(F.struct("src", "share"))), F.lit(0.0), lambda a, x: a + x.share)
+    whole = shared.agg(ordered.alias("w")).first()[0] if totals.count() <= BROADCAST_SOURCES else shared.agg(F.sum("share")).first()[0]
+    total = budget if budget is not None else totals.agg(F.sum("t")).first()[0] or 0
+    tokens = F.floor(F.lit(int(total)) * F.col("share") / F.lit(float(whole or 1.0))).cast("long").alias("b")
+    return shared.select("src", "t", tokens).select("src", F.expr("b div t").alias("whole"), F.expr("b % t").alias("rest"))
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -50,12 +58,10 @@ def first_words(text: Column, n: Column) -> Column:
 
 def selection(docs: DataFrame, weights=None, budget=None, temperature: float = TEMPERATURE, seed: str = SEED):
     """(one row per document, source plan, prefix sums of the last epochs by key)."""
-    spark = docs.sparkSession
     slim = _source(docs.select("doc_id", "source", "text")).select("doc_id", "src", "text")
     counts = materialize(token_counts(slim, "doc_id", "src").where("n_tokens > 0"), "mix-counts")
-    rows = source_plan(counts, weights, budget, temperature)
-    plan = spark.createDataFrame(rows, PLAN)
-    if len(rows) <= BROADCAST_SOURCES:
+    plan = materialize(source_plan(counts, weights, budget, temperature), "mix-plan")
+    if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     n = counts.count()
     keyed = counts.join(plan, "src").withColumn("key", random_key(seed, F.col("whole"), F.col("src"), F.col("doc_id")))
@@ -86,20 +92,20 @@ def mix_documents(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
 
     The text of the last document of a source ends where its budget does, and n_chars is counted anew where it exists."""
     names = docs.columns
+    source, own_source, w, k, left, epoch, cut = free_names(names, "src", "own", "whole", "key", "left", "epoch", "cut")
     _, plan, prefix = selection(docs, seed=seed, **options)
     last = prefix.groupBy("src").agg(F.max(F.struct("key", "prefix_tokens")).alias("m"))
-    cuts = plan.join(last, "src", "left")
-    rows = cuts.select("src", "whole", F.col("m.key"), F.col("rest") - F.col("m.prefix_tokens")).collect()
-    cuts = docs.sparkSession.createDataFrame([tuple(r) for r in rows], "__s string, __w long, __k string, __left long")
-    own = docs.withColumn("__src", F.coalesce(F.col("source").cast("string"), F.lit("")))
-    key = random_key(seed, F.col("__w"), F.col("__src"), F.col("doc_id"))
-    used = F.col("__w") + F.when(key <= F.col("__k"), 1).otherwise(0)
+    cuts = plan.join(last, "src", "left").select(F.col("src").alias(source), F.col("whole").alias(w), F.col("m.key").alias(k), (F.col("rest") - F.col("m.prefix_tokens")).alias(left))
+    cuts = materialize(cuts, "mix-cuts")
+    own = docs.withColumn(own_source, F.coalesce(F.col("source").cast("string"), F.lit("")))
+    key = random_key(seed, F.col(w), F.col(source), F.col("doc_id"))
+    used = F.col(w) + F.when(key <= F.col(k), 1).otherwise(0)
     blank = F.trim(F.translate("text", "\n\t\r\v\f", "     ")) == ""
     # a row per source of the plan; with very many sources the join is left to the optimizer
-    joined = own.join(F.broadcast(cuts) if len(rows) <= BROADCAST_SOURCES else cuts, F.col("__src") == F.col("__s")).where(~F.coalesce(blank, F.lit(True))).withColumn("__u", used).where("__u > 0")
-    each = joined.withColumn("__e", F.explode(F.sequence(F.lit(1), F.col("__u")))).withColumn("__cut", F.coalesce((key == F.col("__k")) & (F.col("__e") > F.col("__w")), F.lit(False)))
-    text = F.when(F.col("__cut"), first_words(F.col("text"), F.col("__left"))).otherwise(F.col("text"))
-    out = each.select(*[text.alias(n) if n == "text" else F.col(f"`{n}`") for n in names], "__cut")
+    joined = own.join(F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts, F.col(own_source) == F.col(source)).where(~F.coalesce(blank, F.lit(True)) & (used > 0))
+    each = joined.withColumn(epoch, F.explode(F.sequence(F.lit(1), used))).withColumn(cut, F.coalesce((key == F.col(k)) & (F.col(epoch) > F.col(w)), F.lit(False)))
+    text = F.when(F.col(cut), first_words(F.col("text"), F.col(left))).otherwise(F.col("text"))
+    out = each.select(*[text.alias(n) if n == "text" else F.col(f"`{n}`") for n in names], cut)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("__cut")
+        out = out.withColumn("n_chars", F.when(F.col(cut), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(cut)

@@ -9,7 +9,8 @@ write_archives makes such directories from a table: one task, one archive or sev
 under another name and renamed, so that a task that runs again replaces its own files.
 
 Cases: a null payload becomes no member; an empty one is a member of size 0. Members may share a name. Directory entries are skipped. An empty table or folder gives
-no rows. Options: path, rangebytes, batchbytes, retries.
+no rows. A member's name is its number, a dash and the title; without a title there is no dash. page_media gives titles back in the type that page_id
+has, negative, text and null ones too. Options: path, rangebytes, batchbytes, retries, payload (false: members and sizes only, no payload is read).
 """
 
 from __future__ import annotations
@@ -78,6 +79,7 @@ class MediaReader(DataSourceReader):
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
         self.batch_bytes = int(options.get("batchbytes", BATCH_BYTES))
         self.retries = int(options.get("retries", RETRIES))
+        self.payload = options.get("payload", "true").lower() != "false"
 
     def partitions(self):
         from pyarrow import fs
@@ -103,8 +105,8 @@ class MediaReader(DataSourceReader):
                 yield part.archive, None, None, None, self.retries + 1, f"{type(error).__name__}: {error}"[:300], None
             return
         for m in sorted(members, key=lambda m: m.header_offset):
-            payload, error = None, None
-            for attempt in range(1, self.retries + 2):
+            payload, error, attempt = None, None, 0
+            for attempt in range(1, self.retries + 2) if self.payload else ():
                 try:
                     payload, error = read_member(files, part.archive, m), None
                     break
@@ -172,7 +174,7 @@ def write_archives(df: DataFrame, path: str, name: str, payload: str, archive_by
                 if archive is None:
                     buffer = io.BytesIO()
                     archive = zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED, compresslevel=1)
-                archive.writestr(zipfile.ZipInfo(f"{number:08d}-{'' if not title.is_valid else title.as_py()}"), body.as_py(), zipfile.ZIP_DEFLATED)
+                archive.writestr(zipfile.ZipInfo(f"{number:08d}" + (f"-{title.as_py()}" if title.is_valid else "")), body.as_py(), zipfile.ZIP_DEFLATED)
                 number += 1
                 if buffer.tell() >= archive_bytes:
                     close()
@@ -202,6 +204,6 @@ def page_media(pages: DataFrame) -> DataFrame:
     write_archives(pages, path, "page_id", "html")
     media = read_archives(spark, path)
     return media.select(
-        F.expr("try_cast(substring_index(member, '-', -1) AS bigint)").alias("page_id"), media_type(F.col("payload")).alias("media_type"), F.col("size").alias("n_bytes"),
+        F.when(F.col("member").contains("-"), F.regexp_replace("member", r"^\d+-", "")).cast(pages.schema["page_id"].dataType).alias("page_id"), media_type(F.col("payload")).alias("media_type"), F.col("size").alias("n_bytes"),
         F.sha2("payload", 256).alias("digest"), "attempts", F.coalesce("error", F.lit("")).alias("error"), F.decode("payload", "UTF-8").alias("html"),
     )

@@ -20,15 +20,15 @@ def _packing(buckets: int = 8, budget: int = 32768) -> str:
         last.append(f"b{k - 1} AS (SELECT d{k}.i AS j FROM d{k} JOIN b{k} USING (j))")
     union = " UNION ALL ".join(f"SELECT j FROM b{k}" for k in range(1, buckets + 1))
     return f"""
-WITH counts AS (SELECT doc_id, len({WORDS}) AS n FROM documents),
+WITH counts AS (SELECT doc_id, text, len({WORDS}) AS n FROM documents),
 lengths AS (SELECT n AS len, row_number() OVER (ORDER BY n) AS j, sum(count(*)) OVER (ORDER BY n)::BIGINT AS total FROM counts GROUP BY n),
 d1 AS (SELECT j, len * total AS v FROM lengths),
 {_bounds(buckets)},
 {", ".join(last)},
 bounds AS (SELECT len AS bound, row_number() OVER (ORDER BY len) - 1 AS bucket FROM lengths WHERE j IN ({union})),
-placed AS (SELECT c.doc_id, c.n, (SELECT min(bound) FROM bounds WHERE bound >= c.n) AS bound FROM counts c)
+placed AS (SELECT c.doc_id, c.text, c.n, (SELECT min(bound) FROM bounds WHERE bound >= c.n) AS bound FROM counts c)
 SELECT doc_id, n AS n_tokens, bucket::INT AS bucket, p.bound,
-       (row_number() OVER (PARTITION BY bucket ORDER BY md5('pack:' || doc_id)) - 1) // greatest(1, {budget} // greatest(p.bound, 1)) AS batch
+       (row_number() OVER (PARTITION BY bucket ORDER BY md5('pack:' || doc_id || ':' || md5(text))) - 1) // greatest(1, {budget} // greatest(p.bound, 1)) AS batch
 FROM placed p JOIN bounds b ON p.bound = b.bound
 """
 

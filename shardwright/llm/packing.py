@@ -5,7 +5,8 @@ the bound of their bucket is least (of equal choices that with the smallest boun
 holds max(1, budget // b) documents, in random order; a document longer than the budget is a batch of its own.
 
 Cases: documents without a word (null, empty, blank) have length 0, count in the histogram and are packed like others, with a bound of
-at least 1 for the batch size. Repeated rows are packed one by one. With fewer lengths than buckets each length is a bucket. Empty tables give empty results. Only doc_id and
+at least 1 for the batch size. Repeated rows are packed one by one. Rows with one doc_id and other texts, or without a doc_id, have
+keys by their text, so the order is the same in every run and no key gathers many rows but equal ones. With fewer lengths than buckets each length is a bucket. Empty tables give empty results. Only doc_id and
 text are read.
 """
 
@@ -56,7 +57,8 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, seed: str = SEED) -> DataFrame:
     """(doc_id, n_tokens, bucket, bound, batch): bucket counts from 0, batch from 0 in its bucket."""
     spark = docs.sparkSession
-    counts = materialize(token_counts(docs.select("doc_id", "text"), "doc_id"), "pack-counts")
+    keyed = docs.select("doc_id", "text", random_key(seed, F.col("doc_id"), F.md5("text")).alias("key"))
+    counts = materialize(token_counts(keyed, "doc_id", "key"), "pack-counts")
     histogram = sorted((r.n_tokens, r["count"]) for r in counts.groupBy("n_tokens").count().toLocalIterator())
     lengths, numbers = (np.array([h[i] for h in histogram], np.int64) for i in (0, 1))
     bounds = best_bounds(lengths, numbers, buckets)
@@ -64,7 +66,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, seed: st
     bound_list = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
     # bounds ascend: the bucket is the number of bounds below the length
     bucket = F.size(F.filter(bound_list, lambda b: b < F.col("n_tokens")))
-    placed = counts.withColumn("bucket", bucket).withColumn("bound", F.get(bound_list, F.col("bucket"))).withColumn("key", random_key(seed, F.col("doc_id")))
+    placed = counts.withColumn("bucket", bucket).withColumn("bound", F.get(bound_list, F.col("bucket")))
     placed = with_position(placed, "bucket", "key", digits_for(rows), "position")
     per_batch = F.greatest(F.lit(1).cast("long"), F.expr(f"{int(budget)}L div greatest(bound, 1L)"))
     return placed.withColumn("per", per_batch).select("doc_id", "n_tokens", "bucket", "bound", F.expr("position div per").alias("batch"))

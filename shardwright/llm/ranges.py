@@ -39,13 +39,19 @@ def token_counts(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def with_position(df: DataFrame, group: str, key: str, digits: int, name: str) -> DataFrame:
-    """df with the 0-based position of each row in its group (not null), in the order of key."""
+    """df with the 0-based position of each row in its group (not null), in the order of key.
+
+    Rows that are equal in all columns count as one with a multiplicity until they have their places, so that many equal ones fill no task."""
+    own, weight = df.columns, "__times"
+    df = df.groupBy(*own).agg(F.count(F.lit(1)).alias(weight))
     piece = F.substring(F.col(key), 1, digits)
-    sizes = df.groupBy(F.col(group).alias("__g"), piece.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = df.groupBy(F.col(group).alias("__g"), piece.alias("__p")).agg(F.sum(weight).alias("__n"))
     before = Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    within = Window.partitionBy(F.col(group), F.col("__p")).orderBy(key)
-    placed = df.withColumn("__p", piece).withColumn("__r", F.row_number().over(within) - 1)
+    # rows of one key that differ elsewhere have an order, too
+    within = Window.partitionBy(F.col(group), F.col("__p")).orderBy(key, *[c for c in own if c != key]).rowsBetween(Window.unboundedPreceding, -1)
+    placed = df.withColumn("__p", piece).withColumn("__r", F.coalesce(F.sum(weight).over(within), F.lit(0)))
     offsets = offsets.withColumnRenamed("__p", "__q")
     joined = placed.join(offsets, (placed[group] == offsets["__g"]) & (placed["__p"] == offsets["__q"]))
-    return joined.withColumn(name, F.col("__r") + F.col("__o")).drop("__p", "__q", "__g", "__o", "__r")
+    first = F.col("__r") + F.col("__o")
+    return joined.select(*own, F.explode(F.sequence(first, first + F.col(weight) - 1)).alias(name))

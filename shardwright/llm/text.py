@@ -238,5 +238,5 @@ def small(ids, limit: int = BROADCAST_BYTES):
     """(ids, whether they take at most `limit` bytes): then with a broadcast hint, so that no text is shuffled to find them, else for a join by shuffle."""
     from pyspark.sql import functions as F
 
-    fits = ids.count() * 16 <= limit
+    fits = ids.count() * 64 <= limit  # what a broadcast relation takes a row
     return (F.broadcast(ids) if fits else ids.hint("merge")), fits

@@ -272,6 +272,24 @@ def test_media_empty(spark, tmp_path):
     assert media.page_media(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_media_ids(spark):
+    """Negative, text and null ids come back as they were, in the type of the column."""
+    import hashlib
+
+    for kind, ids in (("long", [-5, 12, None, 2**40]), ("string", ["ab-12", "xy", None, "-7"])):
+        df = spark.createDataFrame([(i, f"u{k}", f"<html>{k}") for k, i in enumerate(ids)], f"page_id {kind}, url string, html string")
+        got = media.page_media(df)
+        assert dict(got.dtypes)["page_id"] == dict(df.dtypes)["page_id"]
+        assert {(r.page_id, r.digest) for r in got.collect()} == {(i, hashlib.sha256(f"<html>{k}".encode()).hexdigest()) for k, i in enumerate(ids)}
+
+
+def test_media_without_payload(spark, tmp_path):
+    df = spark.createDataFrame([(i, bytes([i]) * 100) for i in range(5)], "page_id long, html binary")
+    media.write_archives(df, str(tmp_path / "a"), "page_id", "html")
+    got = media.read_archives(spark, str(tmp_path / "a"), payload="false").collect()
+    assert len(got) == 5 and all(g.size == 100 and g.payload is None and g.attempts == 0 for g in got)
+
+
 # 4
 
 
@@ -363,6 +381,16 @@ def test_line_dedup(docs, empty, broadcast):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_names_and_blanks(spark):
+    """Columns named like internal ones pass; a document left with ASCII white space only goes with drop_emptied; a line in every row fills no owner."""
+    rows = [(1, "same\nown one", 8, "a", "b"), (2, "same\n\f \v", 9, "c", "d"), (3, "\f", 1, "e", "f"), (4, None, 0, "g", "h"), *[(i, "same\nsame", 9, "x", "y") for i in range(5, 300)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, __own string, __gone string")
+    for limit in (1 << 26, 0):
+        got = line_dedup.dedup_lines(df, drop_emptied=True, broadcast_bytes=limit)
+        assert got.columns == df.columns
+        assert sorted(map(tuple, got.collect())) == [(1, "same\nown one", 12, "a", "b"), (3, "\f", 1, "e", "f"), (4, None, None, "g", "h")]
+
+
 # 7
 
 
@@ -406,6 +434,15 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_ties(spark):
+    """Rows without a doc_id, or with one doc_id and other texts, are packed alike however the table is cut; equal rows count each."""
+    r = random.Random(8)
+    rows = [(None if i % 3 else 7, "w " * r.randint(1, 30)) for i in range(300)] + [(9, "a b c")] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (Counter(map(tuple, packing.pack(df.repartition(n), buckets=3, budget=60).collect())) for n in (1, 7))
+    assert one == two and sum(one.values()) == 500 and sum(n for k, n in one.items() if k[0] == 9) == 200
+
+
 # 8
 
 
@@ -708,5 +745,12 @@ def test_first_words(spark):
             assert r.out == r.text if len(words) <= n else not r.out[-1].isspace()
 
 
+def test_mixing_names(unique):
+    """Columns named like internal ones come through unchanged."""
+    odd = unique.select("doc_id", "text", "source", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in ("__u", "__w", "__s", "__k", "__key", "__cut", "__epoch", "whole", "rest")])
+    got = mixing.mix_documents(odd).collect()
+    assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in odd.columns[3:])
+
+
 def test_mixing_empty(empty):
     assert mixing.mix_report(empty).count() == 0 and mixing.mix_documents(empty).count() == 0

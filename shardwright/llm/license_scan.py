@@ -1,9 +1,10 @@
 """Licence notices in documents, by a positional index of rare licence words.
 
-A template has a text and mandatory key phrases. The document frequency of every licence word is counted over the corpus; the anchor of
-a phrase is its word of highest IDF. Of each document only its highest-IDF licence words, those that are anchors, are looked up; their postings name
-template, phrase and place. Each hit is verified by comparing the whole phrase, and a template is found where all its phrases stand at
-their places relative to the first one, give or take `slack` words. As a phrase cannot stand without its anchor, nothing is missed.
+A template has a text and mandatory key phrases, several where the licence has a text of its own; one-line notices have one. The document
+frequency of every licence word is counted over the corpus. Of each document only its highest-IDF licence words are looked up, those that are the
+rarest of a phrase; their postings name template, phrase and place. Postings of the phrase's RARE rarest words are intersected by relative position,
+which leaves few places, and these are verified by the rest of the phrase. A template is found where all its phrases stand at their places
+relative to the first one, give or take `slack` words. As a phrase cannot stand without its words, nothing is missed.
 
 Words are runs of ASCII letters, digits and bytes above 127; ASCII letters compare in lower case.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .text import Hasher, pieces, runs, words
 
-SLACK = 12
+SLACK, RARE = 12, 3
 
 
 @dataclass(frozen=True)
@@ -45,26 +46,59 @@ TEMPLATES = (
     Template("Apache-2.0", "SPDX-License-Identifier: Apache-2.0", ("SPDX-License-Identifier: Apache-2.0",)),
     Template(
         "Apache-2.0-header",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
-        ("Apache License, Version 2.0", "you may not use this file except in compliance with the License"),
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+        ("Apache License, Version 2.0", "you may not use this file except in compliance with the License", "Unless required by applicable law or agreed to in writing", 'distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND'),
     ),
     Template("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", ("GNU General Public License, version 3",)),
     Template("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", ("GNU General Public License, version 2",)),
     Template(
         "GPL-header",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        ("GNU General Public License as published by the Free Software Foundation", "at your option any later version"),
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        ("you can redistribute it and/or modify it under the terms of the", "GNU General Public License as published by the Free Software Foundation", "at your option any later version", "without even the implied warranty of MERCHANTABILITY"),
     ),
     Template("LGPL", "under the terms of the GNU Lesser General Public License", ("GNU Lesser General Public License",)),
+    Template(
+        "LGPL-header",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        ("This library is free software", "GNU Lesser General Public License as published by the Free Software Foundation", "at your option any later version"),
+    ),
     Template("AGPL-3.0", "under the terms of the GNU Affero General Public License", ("GNU Affero General Public License",)),
     Template(
         "BSD",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-        ("Redistribution and use in source and binary forms", "Redistributions of source code must retain the above copyright notice"),
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        ("Redistribution and use in source and binary forms", "Redistributions of source code must retain the above copyright notice", "Redistributions in binary form must reproduce the above copyright notice"),
+    ),
+    Template(
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        ("Redistribution and use in source and binary forms", "Redistributions of source code must retain the above copyright notice", "Redistributions in binary form must reproduce the above copyright notice", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ),
+    Template(
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        ("and/or distribute this software for any purpose with or without fee is hereby granted", "this permission notice appear in all copies"),
+    ),
+    Template(
+        "Zlib",
+        "In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+        ("In no event will the authors be held liable for any damages", "Permission is granted to anyone to use this software for any purpose", "to alter it and redistribute it freely"),
+    ),
+    Template(
+        "BSL-1.0",
+        "Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+        ("Boost Software License", "any person or organization obtaining a copy of the software and accompanying documentation"),
     ),
-    Template("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ("and/or distribute this software for any purpose with or without fee is hereby granted",)),
     Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("Mozilla Public License, v. 2.0",)),
-    Template("Unlicense", "This is free and unencumbered software released into the public domain.", ("free and unencumbered software released into the public domain",)),
+    Template(
+        "MPL-2.0-header",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        ("Mozilla Public License, v. 2.0", "If a copy of the MPL was not distributed with this file"),
+    ),
+    Template(
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+        ("free and unencumbered software released into the public domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ),
     Template("CC0-1.0", "CC0 1.0 Universal", ("CC0 1.0",)),
     Template("CC-BY-4.0", "Licensed under CC BY 4.0.", ("CC BY 4.0",)),
     Template("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", ("CC BY-SA 4.0",)),
@@ -101,17 +135,18 @@ def phrase_table(templates) -> list[tuple[int, int, int, list[str]]]:
 
 
 class PositionalIndex:
-    """Postings of the anchors: hash of the word to (phrase, place of the anchor in it)."""
+    """Postings of the rarest word of each phrase: hash of the word to phrases, and the phrases' places in the order of rarity."""
 
     def __init__(self, templates, frequency: dict[str, int], n: int) -> None:
         self.phrases = phrase_table(templates)
         hasher = Hasher()
         self.hashes = [words(pa.array([" ".join(own)]), hasher)[0] for *_, own in self.phrases]
         idf = lambda w: math.log((1 + n) / (1 + frequency.get(w, 0)))
-        posting: dict[int, list[tuple[int, int]]] = {}
-        for i, (*_, own) in enumerate(self.phrases):
-            a = max(range(len(own)), key=lambda k: (idf(own[k]), len(own[k]), -k))
-            posting.setdefault(int(self.hashes[i][a]), []).append((i, a))
+        posting: dict[int, list[int]] = {}
+        # places of each phrase by falling IDF of their words
+        self.rarest = [sorted(range(len(own)), key=lambda k, own=own: (-idf(own[k]), -len(own[k]), k)) for *_, own in self.phrases]
+        for i, places in enumerate(self.rarest):
+            posting.setdefault(int(self.hashes[i][places[0]]), []).append(i)
         self.anchors = np.sort(np.array(list(posting), np.uint64))
         self.posting = [posting[int(h)] for h in self.anchors]
         self.filter = np.zeros(1 << 16, bool)
@@ -126,12 +161,15 @@ class PositionalIndex:
         for s in np.unique(slot):
             here = place[slot == s]
             doc = np.searchsorted(at, here, "right") - 1
-            for phrase, a in self.posting[s]:
-                own = self.hashes[phrase]
-                first = here - a
+            for phrase in self.posting[s]:
+                own, places = self.hashes[phrase], self.rarest[phrase]
+                first = here - places[0]
                 fits = (first >= at[doc]) & (first + len(own) <= at[doc + 1])
                 d, first = doc[fits], first[fits]
-                for k in range(len(own)):
+                # the other rare words at their relative places, then the rest
+                for k in (*places[1:RARE], *places[RARE:]):
+                    if not len(d):
+                        break
                     same = hashes[first + k] == own[k]
                     d, first = d[same], first[same]
                 if len(d):

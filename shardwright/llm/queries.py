@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from ..storage import scan
 from .license_scan import license_notices
 from .line_dedup import dedup_lines
@@ -13,8 +11,9 @@ from .mixing import mix_report
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import apply_rules, fit_cutoffs
+from .stages import run
 from .suffix_dedup import repeated_passages
-from .token_ids import token_columns
+from .token_ids import rank_rows, token_columns
 
 
 def op1_lm_score(spark, sf_dir):
@@ -37,6 +36,11 @@ def op5_token_ids(spark, sf_dir):
     return token_columns(scan(spark, sf_dir, "documents"))[0]
 
 
+def token_ranks(spark, sf_dir):
+    """The second result of op5: which token each of its ids names."""
+    return rank_rows(scan(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark, sf_dir):
     return dedup_lines(scan(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_mixing(spark, sf_dir):
 
 
 def pipeline(spark, sf_dir):
-    return corpus_pipeline.run(spark, sf_dir)
+    return run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op3_media_columns, op4_license_scan, op5_token_ids, op6_line_dedup, op7_packing, op8_quality_rules, op9_near_dedup, op10_mixing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op3_media_columns, op4_license_scan, op5_token_ids, token_ranks, op6_line_dedup, op7_packing, op8_quality_rules, op9_near_dedup, op10_mixing, pipeline)}

@@ -2,10 +2,14 @@
 
 A suffix array of a whole corpus fits no machine, so the places that can matter are found first. Each document is winnowed: of
 every min_words - k + 1 neighbouring runs of k words the one of least hash is an anchor, so equal passages of min_words words have an
-anchor of equal hash in both documents. Anchors whose hash stands in one document only are dropped. Around each of the others the
-words that a passage with this anchor can cover go to the owner of the hash, which builds the suffix array of its windows by
-two-stage sorting: suffixes smaller than their successors are sorted directly, the rest are induced by scanning the buckets in
-symbol order, and neighbours with a common prefix of min_words words give the passages. Nothing is capped or cut.
+anchor of equal hash in both documents. Anchors whose hash stands in one document only are dropped: smallest and largest doc_id of each
+hash are aggregated before any row moves. Around each of the others the words that a passage with this anchor can cover go to the owner
+of the hash, which builds the suffix array of its windows by two-stage sorting: suffixes smaller than their successors are sorted directly, the
+rest are induced by scanning the buckets in symbol order, and neighbours with a common prefix of min_words words give the passages.
+
+An anchor of more than HOT places (text that is everywhere) would fill its owner. Its windows are cut into their suffixes instead, each by its first
+min_words words, which is all that the order of suffixes is asked for; equal ones become one (64-bit name, smallest and largest doc_id)
+before they move, so no owner holds more than distinct passages, and the answer joins back. Nothing is capped or cut.
 
 Cases: words are runs without ASCII white space, compared as they are (as 32-bit codes in windows of min_words of them). Null,
 empty and shorter texts give no rows, nor do rows with a null doc_id. Rows with the same doc_id are one document: passages repeated only within one
@@ -20,10 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .text import Hasher, mix, pieces, runs, words
+from .text import Hasher, mix, pieces, runs, small, words
 
 MIN_WORDS, K = 50, 25
 BATCH_WORDS = 300_000
+HOT = 20_000
 _Q = 0xD1342543DE82EF95
 
 
@@ -273,22 +278,29 @@ def anchor_rows(docs: DataFrame, min_words: int, k: int) -> DataFrame:
     return docs.mapInArrow(find, "anchor long, doc_id long, pos int")
 
 
-def suspects(batches):
-    """Anchors (sorted by hash) that stand in two documents."""
-    for table in _whole_groups(batches, 1):
-        doc = np.asarray(table.column(1))
-        edge = runs(np.asarray(table.column(0)))
-        keep = np.repeat(np.minimum.reduceat(doc, edge[:-1]) != np.maximum.reduceat(doc, edge[:-1]), np.diff(edge))
-        yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
+def prefix_names(content: np.ndarray, size: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, offset, 64-bit name of the min_words words from there) of all suffixes of windows that are long enough."""
+    n = len(content)
+    power = np.cumprod(np.full(n, _Q, np.uint64))
+    inverse = np.cumprod(np.full(n, pow(_Q, -1, 2**64), np.uint64))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(content.astype(np.uint64) + np.uint64(1)) * power)])
+    count = np.maximum(size - min_words + 1, 0)
+    window = np.repeat(np.arange(len(size)), count)
+    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = (np.cumsum(size) - size)[window] + offset
+    return window, offset, mix((total[at + min_words] - total[at]) * inverse[at])
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, n_words, later): maximal runs of words covered by passages that another document has too.
 
     later: an earlier doc_id has these passages, so a deduplication may cut them; others are first occurrences."""
     source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = anchor_rows(source, min_words, k).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(suspects, "anchor long, doc_id long, pos int")
-    places = found.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "anchor")).alias("at"))
+    placed = materialize(anchor_rows(source, min_words, k), "suffix-anchors")
+    shared = placed.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count(F.lit(1)).alias("n")).where("a <> z")
+    shared = materialize(shared.select("anchor", (F.col("n") > hot).alias("hot")), "suffix-shared")
+    found = placed.join(small(shared)[0], "anchor")
+    places = found.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "anchor", "hot")).alias("at"))
     reach = min_words - k
 
     def windows(batches):
@@ -296,34 +308,57 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K) -
         for batch in pieces(batches, 1):
             hashes, at = words(batch.column(1), hasher)
             code = (hashes >> np.uint64(32)).astype(np.uint32)
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.column(2).slice(lo, 256)
-                n = np.asarray(part.value_lengths())
-                doc = np.repeat(np.arange(lo, lo + len(n)), n)
-                flat = part.flatten()
-                pos = np.asarray(flat.field(0)).astype(np.int64)
+            part = batch.column(2)
+            number = np.asarray(part.value_lengths()).astype(np.int64)
+            doc = np.repeat(np.arange(len(number)), number)
+            flat = part.flatten()
+            # whatever the length of a text, a batch has so many windows at most
+            for lo in range(0, len(doc), 8192):
+                own, own_doc = flat.slice(lo, 8192), doc[lo : lo + 8192]
+                pos = np.asarray(own.field(0)).astype(np.int64)
                 # a repeated doc_id with other texts may be shorter here
-                ok = pos + k <= np.diff(at)[doc]
-                doc, pos, anchor = doc[ok], pos[ok], np.asarray(flat.field(1))[ok]
-                a = at[doc] + np.maximum(pos - reach, 0)
-                b = np.minimum(at[doc] + pos + min_words, at[doc + 1])
+                ok = pos + k <= np.diff(at)[own_doc]
+                own_doc, pos, anchor, often = own_doc[ok], pos[ok], np.asarray(own.field(1))[ok], np.asarray(own.field(2))[ok]
+                a = at[own_doc] + np.maximum(pos - reach, 0)
+                b = np.minimum(at[own_doc] + pos + min_words, at[own_doc + 1])
                 size = b - a
                 index = np.repeat(a, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 offsets = np.zeros(len(size) + 1, np.int32)
                 np.cumsum(size * 4, out=offsets[1:])
                 content = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(code[index]))])
-                yield pa.record_batch([pa.array(anchor), batch.column(0).take(pa.array(doc)), pa.array((a - at[doc]).astype(np.int32)), content], ["anchor", "doc_id", "start", "content"])
+                yield pa.record_batch(
+                    [pa.array(anchor), batch.column(0).take(pa.array(own_doc)), pa.array((a - at[own_doc]).astype(np.int32)), content, pa.array(often)], ["anchor", "doc_id", "start", "content", "hot"]
+                )
+
+    def contents(table):
+        raw = table.column(3)
+        raw = raw.combine_chunks() if isinstance(raw, pa.ChunkedArray) else raw
+        raw = pa.concat_arrays(raw.chunks) if isinstance(raw, pa.ChunkedArray) else raw
+        offsets = np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, raw.offset * 4).astype(np.int64)
+        return np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint32), np.diff(offsets) // 4
 
     def sort(batches):
         for table in _whole_groups(batches, BATCH_WORDS // (2 * min_words)):
-            raw = table.column(3).combine_chunks()
-            raw = pa.concat_arrays(raw.chunks) if isinstance(raw, pa.ChunkedArray) else raw
-            offsets = np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, raw.offset * 4).astype(np.int64)
-            content = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint32)
-            yield spans_of_windows(np.asarray(table.column(1)), np.asarray(table.column(2)).astype(np.int64), content, np.diff(offsets) // 4, min_words)
-
-    cut = source.join(places, "doc_id").select("doc_id", "text", "at").mapInArrow(windows, "anchor long, doc_id long, start int, content binary")
-    spans = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort, "doc_id long, later boolean, s long, e long")
+            content, size = contents(table)
+            yield spans_of_windows(np.asarray(table.column(1)), np.asarray(table.column(2)).astype(np.int64), content, size, min_words)
+
+    def names(batches):
+        for batch in batches:
+            if batch.num_rows:
+                window, offset, name = prefix_names(*contents(batch), min_words)
+                yield pa.record_batch([batch.column(1).take(pa.array(window)), pa.array(np.asarray(batch.column(2)).astype(np.int64)[window] + offset), pa.array(name.view(np.int64))], ["doc_id", "s", "name"])
+
+    cut = source.join(places, "doc_id").select("doc_id", "text", "at").mapInArrow(windows, "anchor long, doc_id long, start int, content binary, hot boolean")
+    columns = "anchor", "doc_id", "start", "content"
+    if shared.where("hot").isEmpty():
+        spans = cut.select(*columns).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort, "doc_id long, later boolean, s long, e long")
+    else:
+        cut = materialize(cut, "suffix-windows")
+        spans = cut.where("not hot").select(*columns).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort, "doc_id long, later boolean, s long, e long")
+        each = materialize(cut.where("hot").select(*columns).mapInArrow(names, "doc_id long, s long, name long").distinct(), "suffix-names")
+        twice = materialize(each.groupBy("name").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("z")).where("first <> z").select("name", "first"), "suffix-twice")
+        often = each.join(small(twice)[0], "name").select("doc_id", (F.col("doc_id") != F.col("first")).alias("later"), "s", (F.col("s") + min_words).alias("e"))
+        spans = spans.unionByName(often)
     order = Window.partitionBy("doc_id", "later").orderBy("s")
     reached = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(reached >= F.col("s"), 0).otherwise(1)).over(order)

@@ -4,6 +4,8 @@ Ids count from 0 by falling frequency over all documents (equal ones by the toke
 Four numbers share a control byte (two bits each, low bits first: bytes of the number less one); control bytes and data bytes are
 apart. Decoding is by table: each control byte names how many data bytes follow and where each byte of the four numbers lies.
 
+Decoding to text takes the token of each rank, which `token_ranks` lists as a table of its own.
+
 The tokenizer's files are not part of this package; their path is a parameter. Its vocabulary has a fixed size, so its counts and ranks are broadcast.
 
 Cases: a null text gives nulls, an empty one no tokens and empty columns. Special tokens' strings in a text are ordinary text. Rows are
@@ -118,7 +120,7 @@ def ranked(counts: np.ndarray) -> np.ndarray:
 
 
 def token_columns(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> tuple[DataFrame, np.ndarray]:
-    """((doc_id, n_tokens, control, data), token of each rank)."""
+    """((doc_id, n_tokens, control, data), token of each rank). rank_rows makes a table of the latter."""
     if importlib.util.find_spec("tiktoken") is None:
         raise ModuleNotFoundError("tiktoken is needed to read byte-pair vocabularies")
     size = load_tokenizer(path, pattern).n_vocab
@@ -144,3 +146,12 @@ def token_columns(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTER
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return ids.mapInArrow(code, f"doc_id {kind}, n_tokens long, control binary, data binary"), by_rank
+
+
+def rank_rows(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """(rank, token, n, bytes) of the tokens that occur: the id of token_columns, the tokenizer's id, how often it occurs, its bytes."""
+    tokenizer = load_tokenizer(path, pattern)
+    counts = token_counts(materialize(tokenized(docs, path, pattern).select("ids"), "rank-ids"), 2 if tokenizer.n_vocab <= 1 << 16 else 4, tokenizer.n_vocab)
+    by_rank = ranked(counts)
+    rows = [(rank, int(t), int(counts[t]), bytearray(tokenizer.decode_single_token_bytes(int(t)))) for rank, t in enumerate(by_rank[: int((counts > 0).sum())])]
+    return docs.sparkSession.createDataFrame(rows, "rank long, token long, n long, bytes binary")

@@ -194,9 +194,10 @@ def brute_passages(rows, n):
     return out
 
 
-@pytest.mark.parametrize(("n", "k"), [(50, 25), (20, 7), (12, 12)])
-def test_suffix_passages(docs, n, k):
-    got = {tuple(r) for r in suffix_dedup.repeated_passages(docs, n, k).collect()}
+@pytest.mark.parametrize(("n", "k", "hot"), [(50, 25, suffix_dedup.HOT), (20, 7, 5), (20, 7, 0), (12, 12, suffix_dedup.HOT)])
+def test_suffix_passages(docs, n, k, hot):
+    """Anchors of more than `hot` places go the other way, to the same answer."""
+    got = {tuple(r) for r in suffix_dedup.repeated_passages(docs, n, k, hot).collect()}
     assert got == brute_passages([(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None], n)
     assert got
 
@@ -299,6 +300,7 @@ def test_license_notices(spark, docs, empty):
     texts = [
         f"x y {by['MIT-text'].text} z", by["GPL-header"].text.upper(), "foo. Licensed under CC BY-NC 4.0. bar", "the MIT License and the mit  license", "MIT is a school; License to kill", "All\nrights,\treserved",
         by["BSD"].text.replace("Redistributions", "Redistribution"), by["BSD"].text, "Apache License, Version 2.0 " + "w " * 40 + "you may not use this file except in compliance with the License", None, "",
+        by["BSD-3-Clause"].text, by["Zlib"].text,
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {tuple(r) for r in license_scan.license_notices(df).collect()}
@@ -313,6 +315,7 @@ def test_license_notices(spark, docs, empty):
             for p in find(keys[0]):
                 if all(any(abs((q - p) - (a - at[0])) <= license_scan.SLACK for q in find(k)) for k, a in zip(keys[1:], at[1:])):
                     want.add((i, t.license, p))
+    assert {x for i, x, _ in got if i == 7} == {"BSD"} and {x for i, x, _ in got if i == 11} >= {"BSD", "BSD-3-Clause"} and {x for i, x, _ in got if i == 12} == {"Zlib"}
     assert got == want and {(0, "MIT-text", 2), (2, "CC-BY-NC-4.0", 3), (5, "all-rights-reserved", 0)} <= got
     assert not {r for r in got if r[0] in (4, 6, 9, 10)} and not [r for r in got if r[1] == "Apache-2.0-header"]
     assert license_scan.license_notices(docs).count() == 0 and license_scan.license_notices(empty).count() == 0
@@ -336,7 +339,9 @@ def test_token_columns(docs, empty):
         back[r.doc_id, tokenizer.decode(ids)] += 1
     assert back == texts
     assert [t for t, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))] == by_rank[: len(counts)].tolist()
-    assert token_ids.token_columns(empty)[0].count() == 0
+    ranks = token_ids.rank_rows(docs).orderBy("rank").collect()
+    assert [r.token for r in ranks] == by_rank[: len(counts)].tolist() and all(counts[r.token] == r.n and bytes(r.bytes) == tokenizer.decode_single_token_bytes(r.token) for r in ranks)
+    assert token_ids.token_columns(empty)[0].count() == 0 and token_ids.rank_rows(empty).count() == 0
 
 
 def test_byte_coding():

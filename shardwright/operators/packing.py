@@ -1,7 +1,7 @@
 """Greedy packing of objects into shards: four rules of when a shard is full, one fold.
 
-The fold's state is (shard, bytes), so it is inherently sequential; it runs over (order, size) only, about 50 bytes an object, streamed through
-one Arrow task per group of the dataset. `pack_ranges` is the form for data sets too large for that: it folds range partitions independently and numbers
+The fold's state is (shard, bytes), so it is inherently sequential; `pack` runs it over (order, size) only, about 50 bytes an object, streamed through
+one task behind a shuffle, so that the scan stays parallel. `pack_ranges`, which the engine uses, is the form for data sets too large for that: it folds range partitions independently and numbers
 their shards by a prefix sum, at the cost of one short shard per partition.
 """
 
@@ -62,7 +62,7 @@ def _packer(rule: str, target: int):
 def pack(df: DataFrame, order: list[str], key: str, size: str, rule: str = "vacuum", target: int = TARGET) -> DataFrame:
     """(key, size, shard, offset) by the exact sequential rule."""
     slim = df.select(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], F.col(key), F.col(size).cast("long").alias("size"))
-    own = slim.coalesce(1).sortWithinPartitions(*[f"__o{i}" for i in range(len(order))]).select(key, "size")
+    own = slim.repartition(1).sortWithinPartitions(*[f"__o{i}" for i in range(len(order))]).select(key, "size")
     schema = own.withColumns({"shard": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
     return own.mapInArrow(_packer(rule, target), schema)
 
@@ -70,8 +70,9 @@ def pack(df: DataFrame, order: list[str], key: str, size: str, rule: str = "vacu
 def pack_ranges(df: DataFrame, order: list[str], key: str, size: str, rule: str = "vacuum", target: int = TARGET, partitions: int | None = None) -> DataFrame:
     """As pack, in parallel: a short shard may end each partition, every other rule holds."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slim = df.select(*order, F.col(key).alias("__key"), F.col(size).cast("long").alias("size"))
-    own = slim.repartitionByRange(n, *order).sortWithinPartitions(*order).select("__key", F.spark_partition_id().alias("__part"), "size")
+    at = [f"__o{i}" for i in range(len(order))]
+    slim = df.select(*[F.col(c).alias(a) for c, a in zip(order, at)], F.col(key).alias("__key"), F.col(size).cast("long").alias("size"))
+    own = slim.repartitionByRange(n, *at).sortWithinPartitions(*at).select("__key", F.spark_partition_id().alias("__part"), "size")
     schema = own.withColumns({"shard": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
     packed = materialize(own.mapInArrow(_packer(rule, target), schema), "packed")
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,7 +84,7 @@ def pack_ranges(df: DataFrame, order: list[str], key: str, size: str, rule: str
 def rotate_deltas(df: DataFrame, order: list[str], key: str, size: str, first: int = -1, filled: int = 0, target: int = TARGET) -> DataFrame:
     """(key, size, shard, offset) of appended objects: delta shards count down; each append is a record and a 1024-byte trailer."""
     slim = df.select(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], F.col(key), F.col(size).cast("long").alias("size"))
-    own = slim.coalesce(1).sortWithinPartitions(*[f"__o{i}" for i in range(len(order))]).select(key, "size")
+    own = slim.repartition(1).sortWithinPartitions(*[f"__o{i}" for i in range(len(order))]).select(key, "size")
 
     def append(batches):
         shard, end = first, filled

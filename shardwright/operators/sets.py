@@ -117,3 +117,23 @@ def replicate(df: DataFrame, replicas: int, path: str) -> DataFrame:
     spark = df.sparkSession
     out = df.crossJoin(F.broadcast(spark.range(replicas).select(F.col("id").cast("int").alias("replica"))))
     return out.withColumn("logical_path", F.concat(F.lit("rep"), F.lpad(F.col("replica").cast("string"), 4, "0"), F.lit("__"), F.col(path)))
+
+
+def with_cell_metrics(epochs: DataFrame, cells: DataFrame, keys: tuple[str, ...] = ("loader", "seed")) -> DataFrame:
+    """Each epoch row with the metrics of its cell; rows without any keep nulls. Spark broadcasts cells where their size allows."""
+    return epochs.join(cells, list(keys), "left")
+
+
+def by_wait(shares: DataFrame, share: str, label: str) -> DataFrame:
+    """Labels with their place by ascending share of waiting, equal ones by name."""
+    from .ordered import numbered
+
+    return numbered(shares, [share, label]).withColumn("place", F.col("index_name").cast("long")).drop("index_name")
+
+
+def with_payload(adds: DataFrame, files: DataFrame) -> DataFrame:
+    """Added objects (shard_id, offset, size) whose bytes are there; files: name, length of shard files."""
+    from ..functions.scalar import shard_number
+
+    there = files.select(shard_number(F.col("name")).alias("__n"), F.col("length").alias("__length"))
+    return adds.join(there, F.col("shard_id") == F.col("__n")).where(F.col("__length") >= F.col("offset") + F.col("size")).drop("__n", "__length")

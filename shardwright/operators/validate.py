@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog
@@ -25,13 +25,11 @@ def catalog_problems(objects: DataFrame, shards: DataFrame, files: DataFrame) ->
     return out.unionByName(lost).unionByName(beyond)
 
 
-def payload_problems(spark: SparkSession, root: str, objects: DataFrame, include_deleted: bool = False) -> DataFrame:
-    """(path, error) of objects whose tar header doesn't fit the catalog. One shard is one record here, so at most 2 GiB."""
-    own = objects if include_deleted else catalog.live(objects)
-    per = own.groupBy("shard_id").agg(F.to_json(F.collect_list(F.struct("path", "offset", "size"))).alias("o"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard_*").load(root).select("path", "content", shard_number(F.element_at(F.split("path", "/"), -1)).alias("n"))
-    joined = files.join(per, F.col("n") == F.col("shard_id")).select("path", "content", "o")
-    return joined.mapInArrow(tar_header_errors, "path string, error string")
+def payload_problems(root: str, objects: DataFrame, include_deleted: bool = False) -> DataFrame:
+    """(path, error) of objects whose tar header doesn't fit the catalog: 512 bytes are read for each object, in order of shard and offset."""
+    own = (objects if include_deleted else catalog.live(objects)).select("path", "shard_id", "offset", "size")
+    ordered = own.repartitionByRange("shard_id", "offset").sortWithinPartitions("shard_id", "offset")
+    return ordered.mapInArrow(tar_header_errors(root), "path string, error string")
 
 
 def errors_by_shard(problems: DataFrame, objects: DataFrame) -> DataFrame:

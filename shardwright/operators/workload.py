@@ -114,3 +114,14 @@ def nested_prefixes(files: DataFrame, label: str, path: str, sizes: list[int]) -
     from .ordered import balanced_first
 
     return {n: balanced_first(files, label, path, n) for n in sizes}
+
+
+def compare_scenarios(base: Callable, scenarios: dict[str, Callable]) -> list[dict]:
+    """Each scenario on a data set of its own made by base(): changes, then compaction; one row of figures each."""
+    out = []
+    for name, change in scenarios.items():
+        engine = base()
+        change(engine)
+        before, start = engine.fragmentation(), time.perf_counter()
+        out.append({"scenario": name, "fragmentation": before, **engine.vacuum(), "vacuum_s": time.perf_counter() - start})
+    return out

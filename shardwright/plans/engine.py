@@ -1,13 +1,17 @@
 """A data set in a folder: versions, commits, transactions, sessions, compaction.
 
 root/versions/<n>/{objects,shards} are immutable catalog tables; root/log/<seq>.json are commits, each one transaction; root/CURRENT names the version and the
-seq up to which the log is in it. A commit is one file that is renamed into place, so it is there as a whole or not at all. Writers hold root/LOCK. Payloads are tar
-shards root/shard_<id>; deltas are negative.
+seq up to which the log is in it. A commit is one file that appears under a name nobody had, so it is there as a whole or not at all, and never over another
+one. Writers hold root/LOCK, which only one can create. Payloads are tar shards root/shard_<id>, each written once under a new number; deltas are negative, at
+least one for each commit with payloads, until compaction.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import queue
+import threading
 import time
 import uuid
 from collections.abc import Iterable
@@ -21,7 +25,7 @@ from .. import catalog
 from ..functions import scalar as X
 from ..operators import packing
 from ..sources.sinks import append_tar, write_shards
-from ..sources.tar import filesystem, read_shards
+from ..sources.tar import filesystem, read_shards, write_catalog
 from ..streaming import log
 from . import loader
 
@@ -95,12 +99,8 @@ class Session:
         return plan.join(data, "path")
 
     def batches(self, epoch: int = 0, payload: bool = False) -> Iterable[list]:
-        start = time.monotonic()
-        for batch in loader.iterate(self.plan(epoch, payload)):
-            if time.monotonic() - start > self.spec.timeout_s:
-                raise TimeoutError(f"no batch for {self.spec.timeout_s} s")
-            yield batch
-            start = time.monotonic()
+        """Batches in order. A wait of more than timeout_s ends in TimeoutError, whatever Spark does meanwhile; its jobs are cancelled."""
+        return timed(self.engine.spark, lambda: loader.iterate(self.plan(epoch, payload)), self.spec.timeout_s)
 
     def close(self) -> None:
         self.engine.sessions.pop(self.id, None)
@@ -112,6 +112,50 @@ class Session:
         self.close()
 
 
+def timed(spark: SparkSession, source, seconds: float, held: int = 2) -> Iterable:
+    """Items of source(), read ahead by a thread; TimeoutError if the next one takes longer than that."""
+    from pyspark import InheritableThread
+
+    ready, group, done = queue.Queue(held), uuid.uuid4().hex, threading.Event()
+
+    def offer(item) -> bool:
+        while not done.is_set():
+            try:
+                ready.put(item, timeout=0.2)
+                return True
+            except queue.Full:
+                pass
+        return False
+
+    def fill() -> None:
+        try:
+            spark.sparkContext.setJobGroup(group, "batches", True)
+            for item in source():
+                if not offer((item, None)):
+                    return
+            offer((None, StopIteration()))
+        except BaseException as e:  # noqa: BLE001 - handed over to the reader
+            offer((None, e))
+
+    thread = InheritableThread(target=fill, daemon=True)
+    thread.start()
+    try:
+        while True:
+            try:
+                item, error = ready.get(timeout=seconds)
+            except queue.Empty:
+                raise TimeoutError(f"no batch for {seconds} s") from None
+            if isinstance(error, StopIteration):
+                return
+            if error is not None:
+                raise error
+            yield item
+    finally:
+        done.set()
+        if thread.is_alive():
+            spark.sparkContext.cancelJobGroup(group)
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, delta_target: int = DELTA_TARGET) -> None:
         self.spark, self.root, self.delta_target = spark, root.rstrip("/"), delta_target
@@ -139,6 +183,32 @@ class Engine:
             f.write(raw)
         self.files.move(temporary, f"{self.base}/{name}")
 
+    def _put_new(self, name: str, raw: bytes) -> None:
+        """A whole file under a name that must be free; FileExistsError if another writer was first."""
+        from pyarrow import fs
+
+        aside = f"{name}.{uuid.uuid4().hex}.tmp"
+        with self.files.open_output_stream(f"{self.base}/{aside}") as f:
+            f.write(raw)
+        if isinstance(self.files, fs.LocalFileSystem):
+            try:
+                os.link(f"{self.base}/{aside}", f"{self.base}/{name}")  # fails where the target is, unlike a rename
+            finally:
+                os.unlink(f"{self.base}/{aside}")
+            return
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        hadoop = path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not hadoop.rename(path(f"{self.root}/{aside}"), path(f"{self.root}/{name}")):
+            hadoop.delete(path(f"{self.root}/{aside}"), False)
+            raise FileExistsError(name)
+
+    def shard_files(self) -> list[int]:
+        """Numbers of all shard files there are, named by a catalog or not."""
+        from pyarrow import fs
+
+        names = (x.base_name for x in self.files.get_file_info(fs.FileSelector(self.base)) if x.type == fs.FileType.File)
+        return sorted(int(n[6:]) for n in names if n.startswith("shard_") and n[6:].lstrip("-").isdigit())
+
     def _point(self, version: int, seq: int, generation: int) -> None:
         self._put_file("CURRENT", json.dumps({"version": version, "seq": seq, "generation": generation}).encode())
 
@@ -157,10 +227,11 @@ class Engine:
 
     @contextmanager
     def exclusive(self):
-        """The only writer: a lock file made by an atomic directory creation."""
-        if self._exists("LOCK"):
-            raise Busy("another writer")
-        self._put_file("LOCK", uuid.uuid4().hex.encode())
+        """The only writer: LOCK can be created by one only."""
+        try:
+            self._put_new("LOCK", uuid.uuid4().hex.encode())
+        except FileExistsError:
+            raise Busy("another writer") from None
         try:
             yield
         finally:
@@ -186,6 +257,18 @@ class Engine:
         objects, shards = self.version(version)
         return log.replay(objects, shards, self.records(last, base))
 
+    def lookup(self, paths: list[str]) -> dict:
+        """Live objects among these paths: the filter reaches the catalog's files and the log, nothing else is read."""
+        now = self.current()
+        base = json.loads(self._read(f"versions/{now['version']}/BASE"))["seq"] if self._exists(f"versions/{now['version']}/BASE") else 0
+        asked = F.col("path").isin(sorted(set(paths)))
+        found = {r.path: r.asDict() for r in catalog.live(self.version(now["version"])[0]).where(asked).collect()}
+        for r in log.fold(self.records(max([base, *self.commits()]), base)).where(asked).collect():
+            found.pop(r.path, None)
+            if r.object is not None:
+                found[r.path] = {**r.object.asDict(), "path": r.path}
+        return found
+
     def last_seq(self) -> int:
         return max([self.current()["seq"], *self.commits()])
 
@@ -200,12 +283,12 @@ class Engine:
         return [r.path for r in self.objects().select("path").orderBy("path").toLocalIterator()]
 
     def read(self, path: str) -> bytes:
-        row = self.objects().where(F.col("path") == path).first()
+        row = self.lookup([path]).get(path)
         if row is None:
             raise FileNotFoundError(path)
-        with self.files.open_input_file(f"{self.base}/shard_{row.shard_id}") as f:
-            f.seek(row.offset)
-            return f.read(row.size)
+        with self.files.open_input_file(f"{self.base}/shard_{row['shard_id']}") as f:
+            f.seek(row["offset"])
+            return f.read(row["size"])
 
     def pinned_objects(self, version: int, seq: int, objects: DataFrame) -> str:
         """The state of a session as a table that the payload source reads."""
@@ -213,7 +296,7 @@ class Engine:
 
         if (version, seq) not in self._pinned:
             path = scratch_path(self.spark, "pinned")
-            objects.write.parquet(path)
+            write_catalog(objects, path)
             self._pinned[version, seq] = path
         return self._pinned[version, seq]
 
@@ -229,7 +312,7 @@ class Engine:
         return self.apply([Put(path, payload, metadata)])
 
     def delete(self, path: str, strict: bool = True) -> int:
-        if not strict and self.objects().where(F.col("path") == path).isEmpty():
+        if not strict and path not in self.lookup([path]):
             return self.last_seq()
         return self.apply([Delete(path)])
 
@@ -250,12 +333,9 @@ class Engine:
         with self.exclusive():
             seq = self.last_seq() + 1
             asked = sorted({op.path for op in ops if not isinstance(op, Put)})
-            objects, shards = self.state()
-            known = {r.path: r for r in catalog.live(objects).where(F.col("path").isin(asked)).collect()} if asked else {}
-            deltas = shards.where("number < 0").agg(F.min("number"), F.min_by("total_size", "number")).first()
-            shard, end = (deltas[0], deltas[1]) if deltas[0] is not None else (-1, 0)
+            known = self.lookup(asked) if asked else {}
+            shard, end = min([0, *self.shard_files()]) - 1, 0
             staged: dict[int, list] = {}
-            offsets: dict[int, int] = {}
             records, made = [], {}
             txn, now = uuid.uuid4().hex, int(time.time())
             row = lambda kind, **x: {"seq": seq, "txn_id": txn, "ts": now, "op": kind, **x}
@@ -265,7 +345,6 @@ class Engine:
                     if end and end + n > self.delta_target:
                         shard, end = shard - 1, 0
                     staged.setdefault(shard, []).append((op.path, op.payload))
-                    offsets.setdefault(shard, end)
                     add = {"path": op.path, "shard_id": shard, "offset": end + 512, "size": len(op.payload), "deleted": False, "object_metadata": op.metadata}
                     end += n + 1024
                     records.append(row("add", add=add))
@@ -277,16 +356,15 @@ class Engine:
                     made[op.path] = None
                     known.pop(op.path, None)
                 else:
-                    source = made.get(op.path) or (known[op.path].asDict() if op.path in known else None)
+                    source = made.get(op.path) or known.get(op.path)
                     if source is None:
                         raise FileNotFoundError(op.path)
                     records += [row("delete", delete=op.path), row("delete", delete=op.target), row("add", add={**source, "path": op.target})]
                     made[op.path], made[op.target] = None, {**source, "path": op.target}
                     known.pop(op.path, None)
             for number, items in staged.items():
-                old = self._read(f"shard_{number}")[: offsets[number]] if offsets[number] else b""
-                self._put_file(f"shard_{number}", old + append_tar(items)[0])
-            self._put_file(f"log/{seq:020d}.json", self._lines(records))
+                self._put_new(f"shard_{number}", append_tar(items)[0])
+            self._put_new(f"log/{seq:020d}.json", self._lines(records))
             return seq
 
     @staticmethod
@@ -321,14 +399,26 @@ class Engine:
             raise ValueError(f"bad path {bad.path!r}")
         with self.exclusive():
             objects, shards = self.state()
-            first = (shards.where("number >= 0").agg(F.max("number")).first()[0] or -1) + 1 if not shards.where("number >= 0").isEmpty() else 0
-            packed = packing.pack(own.select("path", F.octet_length("payload").cast("long").alias("size")), ["path"], "path", "size", rule, target)
+            first = self._next_shard(shards)
+            sizes = own.select("path", F.octet_length("payload").cast("long").alias("size"))
+            packed = packing.pack_ranges(sizes, ["path"], "path", "size", rule, target, self._ranges(sizes, target))
             placed = materialize(packed.withColumn("shard_id", (F.col("shard") + first).cast("int")), "placed")
             written = write_shards(own.join(placed, "path").select("path", "shard_id", "offset", "payload"), self.root)
             fresh = own.drop("payload").join(placed, "path").select("path", "shard_id", "offset", "size", F.lit(False).alias("deleted"), "object_metadata")
             kept = objects.join(fresh.select("path"), "path", "left_anti")
             return self._advance(kept.unionByName(fresh), shards.unionByName(written.select(F.col("shard_id").alias("number"), F.lit("base").alias("type"), "total_size")))
 
+    def _next_shard(self, shards: DataFrame) -> int:
+        """A number above all shards that a catalog names and all files there are, so nothing is written over."""
+        named = shards.where("number >= 0").agg(F.max("number")).first()[0]
+        return max([-1, *self.shard_files(), *([] if named is None else [named])]) + 1
+
+    @staticmethod
+    def _ranges(sizes: DataFrame, target: int) -> int:
+        """Ranges packed apart: each fills some 16 shards, as its last one may be short."""
+        total = sizes.agg(F.sum("size")).first()[0] or 0
+        return max(1, total // (16 * target))
+
     def _advance(self, objects: DataFrame, shards: DataFrame) -> int:
         now, seq, generation = self.current(), self.last_seq(), self.generation() + 1
         n = now["version"] + 1
@@ -377,15 +467,14 @@ class Engine:
         with self.exclusive():
             objects, shards = self.state()
             live = materialize(catalog.live(objects), "vacuum")
-            packed = materialize(packing.pack(live, ["shard_id", "offset", "path"], "path", "size", "vacuum", target), "vacuum-packed")
+            packed = materialize(packing.pack_ranges(live, ["shard_id", "offset", "path"], "path", "size", "vacuum", target, self._ranges(live, target)), "vacuum-packed")
             totals = packing.shard_totals(packed)
             before = shards.where("number >= 0").agg(F.coalesce(F.sum("total_size"), F.lit(0))).first()[0]
             after = totals.agg(F.count(F.lit(1)), F.coalesce(F.sum("total_size"), F.lit(0))).first()
             stats = {"live_files": live.count(), "new_shards": after[0], "bytes_before": before, "bytes_after": after[1]}
             if dry_run:
                 return stats
-            old = [r.number for r in shards.select("number").toLocalIterator()]
-            first = max([n for n in old if n >= 0], default=-1) + 1
+            first = self._next_shard(shards)
             placed = packed.select("path", (F.col("shard") + first).cast("int").alias("shard_id"), "offset", "size")
             data = read_shards(self.spark, self.root, self.pinned_objects(-1, self.last_seq() + self.generation(), live)).select("path", "payload")
             write_shards(placed.join(data, "path"), self.root)

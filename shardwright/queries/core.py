@@ -94,12 +94,6 @@ def base_shards(spark, sf_dir):
     return catalog.base_shard_order(T.shards(o).where("type = 'base'")).select("number", "total_size")
 
 
-@query(f"{O} SELECT path, size FROM objects WHERE path = 'doc000000007'")
-def point_lookup(spark, sf_dir):
-    docs = scan(spark, sf_dir, "documents").where("doc_id = 7")  # the key reaches the scan
-    return docs.select(F.concat(F.lit("doc"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), F.octet_length("text").cast("long").alias("size"))
-
-
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k, CASE WHEN json_type(props) = 'OBJECT' THEN 'columns' WHEN json_type(props) = 'ARRAY' THEN 'annotations' ELSE 'meta_raw' END AS merged FROM events")
 def json_metadata_merge(spark, sf_dir):
     v = F.try_parse_json("props")
@@ -223,10 +217,10 @@ def rss_plateau(spark, sf_dir):
 
 
 @query(f"""{SE}, r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY event_id DESC) AS rn FROM series)
-SELECT series, count(*) AS n, round(quantile_cont(value, 0.5) FILTER (WHERE rn <= 128), 6) AS p50, round(quantile_cont(value, 0.95) FILTER (WHERE rn <= 128), 6) AS p95, round(quantile_cont(value, 0.99) FILTER (WHERE rn <= 128), 6) AS p99, max(value) FILTER (WHERE rn <= 128) AS max
+SELECT series, count(*) AS n, round(quantile_cont(value, 0.5) FILTER (WHERE rn <= 8192), 6) AS p50, round(quantile_cont(value, 0.95) FILTER (WHERE rn <= 8192), 6) AS p95, round(quantile_cont(value, 0.99) FILTER (WHERE rn <= 8192), 6) AS p99, max(value) FILTER (WHERE rn <= 8192) AS max
 FROM r GROUP BY series""")
 def ring_last_n_percentiles(spark, sf_dir):
-    return r6("p50", "p95", "p99")(M.ring_histogram(T.series(spark, sf_dir), "series", "event_id", "value", 128))
+    return r6("p50", "p95", "p99")(M.ring_histogram(T.series(spark, sf_dir), "series", "event_id", "value"))
 
 
 @query("""WITH u AS (FROM (SELECT l_returnflag AS loader, 'read' AS stage, l_discount AS p50, l_tax AS p95, l_quantity AS n FROM lineitem) UNION ALL SELECT l_returnflag, 'write', l_tax, l_discount, NULL FROM lineitem)
@@ -414,11 +408,6 @@ def hash_shuffle_batches(spark, sf_dir):
     return P.shuffled_batches(a, 11).select("path", *[F.col(c).cast("long").alias(c) for c in ("worker", "window", "position", "batch")])
 
 
-@query("SELECT n_name, n_regionkey FROM nation")
-def config_order(spark, sf_dir):
-    return P.config_order(scan(spark, sf_dir, "nation"), "n_name", ["NATION_3", "NATION_1"]).select("n_name", "n_regionkey")
-
-
 @query(f"{MU} SELECT path, arg_max(op, seq) AS op, arg_max(size, seq) AS size, max(seq) AS seq FROM mutations WHERE op <> 'rename' GROUP BY path")
 def latest_version_per_path(spark, sf_dir):
     m = T.mutations(spark, sf_dir).where("op <> 'rename'").select("path", "op", "size", "seq")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import payload as P
-from ..operators import packing, validate
+from ..operators import packing
 from ..plans import loader
 from ..sources import files, sinks, tar
 from ..storage import scan, scratch_path
@@ -28,12 +28,17 @@ def query(sql: str | None = None):
     return add
 
 
-# a rename moves what its source was by the last put or delete before it
-EVENTS_SQL = f"""{MU}, facts AS (SELECT path, seq, op = 'put' AS live, CASE WHEN op = 'put' THEN size END AS size FROM mutations WHERE op <> 'rename'),
-found AS (
-  SELECT m.seq, m.path, m.target, f.live, f.size FROM (FROM mutations WHERE op = 'rename') m ASOF JOIN facts f ON m.path = f.path AND m.seq > f.seq
+# the log in order, one state of all paths after each operation
+EVENTS_SQL = f"""WITH RECURSIVE {T.MUTATIONS_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY seq) AS rn FROM mutations),
+st AS (
+  SELECT 0::BIGINT AS rn, MAP([]::VARCHAR[], []::BIGINT[]) AS m
+  UNION ALL
+  SELECT o.rn, CASE WHEN op = 'put' THEN map_concat(m, MAP([path], [size::BIGINT])) WHEN op = 'delete' THEN map_concat(m, MAP([path], [-1::BIGINT])) WHEN coalesce(m[path], -1) >= 0 THEN map_concat(m, MAP([path, target], [-1::BIGINT, m[path]])) ELSE m END
+  FROM st JOIN o ON o.rn = st.rn + 1
 ), ev AS (
-  SELECT seq, path, live, size FROM facts UNION ALL SELECT seq, path, false, NULL FROM found WHERE live UNION ALL SELECT seq, target, true, size FROM found WHERE live
+  SELECT seq, path, op = 'put' AS live, CASE WHEN op = 'put' THEN size END AS size FROM o WHERE op <> 'rename'
+  UNION ALL
+  SELECT seq, u.p, u.v >= 0, nullif(u.v, -1) FROM (SELECT seq, unnest([{{'p': path, 'v': -1::BIGINT}}, {{'p': target, 'v': m[path]}}]) AS u FROM o JOIN st ON st.rn = o.rn - 1 WHERE op = 'rename' AND coalesce(m[path], -1) >= 0)
 )"""
 
 
@@ -72,7 +77,7 @@ def log_windowed_rates(spark, sf_dir):
     return log.windowed_rates(e, "ts", "event_type", "size", width="1 hour").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "bytes")
 
 
-@query()
+@query(f"""{MU} SELECT path, max(seq) AS seq, arg_max(op, seq) = 'put' AS live, CASE WHEN arg_max(op, seq) = 'put' THEN arg_max(coalesce(size, -1), seq) END AS size FROM mutations WHERE op <> 'rename' GROUP BY path""")
 def log_stream_fold(spark, sf_dir):
     """The log as a stream of commit files; the last event of each path."""
     path, out = scratch_path(spark, "log-stream"), scratch_path(spark, "log-state")
@@ -94,20 +99,13 @@ def epoch_plan(spark, sf_dir):
     return plan.select("path", F.col("rank").cast("long").alias("rank"), F.col("worker").cast("long").alias("worker"))
 
 
-@query("SELECT path, problem FROM (SELECT NULL::VARCHAR AS path, NULL::VARCHAR AS problem) WHERE path IS NOT NULL")
-def reader_partition_check(spark, sf_dir):
-    o = T.objects(spark, sf_dir)
-    plan = loader.epoch_plan(o, T.shards(o), loader.LoaderSpec(workers=2, world=4, seed=3), all_ranks=True)
-    return validate.partition_problems(plan, catalog.live(o))
-
-
 def _packed_shards(spark, sf_dir):
     """documents written as tar shards; (root, path of the catalog table, objects)."""
     root = scratch_path(spark, "shards")
     docs = scan(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), F.encode("text", "UTF-8").alias("payload"))
     placed = packing.pack_ranges(docs.select("path", F.octet_length("payload").cast("long").alias("size")), ["path"], "path", "size", "vacuum", 1 << 20).withColumn("shard_id", F.col("shard").cast("int"))
     sinks.write_shards(docs.join(placed, "path"), f"{root}/data")
-    placed.select("path", "shard_id", "offset", "size", F.lit(False).alias("deleted"), F.lit(None).cast("binary").alias("object_metadata")).write.parquet(f"{root}/objects")
+    tar.write_catalog(placed.select("path", "shard_id", "offset", "size", F.lit(False).alias("deleted"), F.lit(None).cast("binary").alias("object_metadata")), f"{root}/objects")
     return f"{root}/data", f"{root}/objects"
 
 
@@ -117,12 +115,6 @@ def payload_scan_tar(spark, sf_dir):
     return tar.read_shards(spark, root, objects).select("path", "size", F.sha1("payload").alias("digest"))
 
 
-@query("SELECT path, error FROM (SELECT NULL::VARCHAR AS path, NULL::VARCHAR AS error) WHERE path IS NOT NULL")
-def shard_validation(spark, sf_dir):
-    root, objects = _packed_shards(spark, sf_dir)
-    return validate.payload_problems(spark, root, spark.read.parquet(objects))
-
-
 @query("SELECT lang AS label, sha1(text) AS digest FROM documents WHERE lang IS NOT NULL")
 def record_file_round_trip(spark, sf_dir):
     path = scratch_path(spark, "records")
@@ -138,12 +130,14 @@ def webdataset_round_trip(spark, sf_dir):
     return tar.read_tars(spark, path).select("name", F.sha1("payload").alias("digest"))
 
 
-@query("""WITH b AS (SELECT doc_id, string_to_array(rtrim(regexp_replace(hex(encode(text)[1:64]), '(..)', '\\1 ', 'g')), ' ') AS h FROM (SELECT doc_id, text FROM documents)),
-c AS (SELECT doc_id, unnest(h) AS x, len(h) AS n FROM b), d AS (SELECT doc_id, n, CASE WHEN v BETWEEN 65 AND 90 THEN v + 32 ELSE v END % 16 AS bin FROM (SELECT doc_id, n, ('0x' || x)::INT AS v FROM c WHERE x <> ''))
-SELECT doc_id, bin::INT AS bin, round(count(*) / any_value(n), 6) AS share FROM d GROUP BY doc_id, bin""")
+@query("""WITH b AS (SELECT doc_id, unnest(string_split(rtrim(regexp_replace(hex(encode(text)[1:8192]), '(..)', '\\1 ', 'g')), ' ')) AS x FROM documents), c AS (SELECT doc_id, x, count(*) AS n FROM b WHERE x <> '' GROUP BY ALL),
+d AS (SELECT doc_id, n, ('0x' || x)::INT AS v FROM c)
+SELECT doc_id, (CASE WHEN v BETWEEN 65 AND 90 THEN v + 32 ELSE v END % 128)::INT AS bin, sum(n)::BIGINT AS bytes FROM d GROUP BY ALL""")
 def byte_histogram(spark, sf_dir):
-    h = P.byte_shares_udf(64, 16, lower=True)(F.encode("text", "UTF-8"))
-    return scan(spark, sf_dir, "documents").select("doc_id", F.posexplode(h).alias("bin", "share")).where("share > 0").withColumn("share", F.round(F.col("share").cast("double"), 6))
+    """The first 8192 bytes in 128 bins, as bytes: a share times the bytes that it is of."""
+    raw = F.encode("text", "UTF-8")
+    h = scan(spark, sf_dir, "documents").select("doc_id", F.least(F.octet_length(raw), F.lit(8192)).alias("n"), P.byte_shares_udf(8192, 128, lower=True)(raw).alias("h"))
+    return h.select("doc_id", "n", F.posexplode("h").alias("bin", "share")).where("share > 0").select("doc_id", "bin", F.round(F.col("share") * F.col("n")).cast("long").alias("bytes"))
 
 
 @query()
@@ -189,7 +183,3 @@ def manifest_round_trip(spark, sf_dir):
     return objects.join(shards, F.col("shard_id") == F.col("number")).select("number", "type", "total_size", "path", "size", "deleted")
 
 
-@query(f"""{O} SELECT count(*) FILTER (WHERE NOT deleted) AS live_files, sum(total)::BIGINT AS bytes_before FROM objects, (SELECT sum(total_size) / (SELECT count(*) FROM objects) AS total FROM shards)""")
-def vacuum_stats(spark, sf_dir):
-    o = T.objects(spark, sf_dir)
-    return catalog.live(o).agg(F.count(F.lit(1)).alias("live_files")).crossJoin(T.shards(o).agg(F.sum("total_size").alias("bytes_before")))

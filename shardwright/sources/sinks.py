@@ -75,6 +75,54 @@ def append_tar(payloads: list[tuple[str, bytes]]) -> tuple[bytes, list[int]]:
     return out.getvalue(), offsets
 
 
+WEB_TARGET = 500 << 20
+
+
+def webdataset_shards(samples: DataFrame, order: list[str], target: int = WEB_TARGET) -> DataFrame:
+    """samples (ext, payload, label, ...) with ordinal in the order and shard, a new one as soon as payload bytes would pass target; only (order, size) is packed."""
+    from ..operators.ordered import numbered
+    from ..operators.packing import pack_ranges
+
+    sized = numbered(samples.select(*order, F.octet_length("payload").cast("long").alias("__size")), order, name="__index").withColumn("ordinal", F.col("__index").cast("long"))
+    total = sized.agg(F.sum("__size")).first()[0] or 0
+    placed = pack_ranges(sized, ["ordinal"], "ordinal", "__size", "flat", target, max(1, total // (16 * target)))
+    keyed = sized.join(placed.select("ordinal", "shard"), "ordinal").select(*order, "ordinal", "shard")
+    return samples.join(keyed, order)
+
+
+def webdataset_index(written: DataFrame, path: str) -> None:
+    """CSV of name and shard."""
+    written.select("name", "shard").write.mode("overwrite").option("header", True).csv(path)
+
+
+def web_staging(files: DataFrame, max_bytes: int) -> DataFrame:
+    """Archives (name, length) in order of name while their bytes stay within max_bytes, the first always."""
+    from ..operators.ordered import byte_prefix
+
+    return byte_prefix(files, ["name"], "length", max_bytes)
+
+
+def write_class_files(samples: DataFrame, root: str) -> int:
+    """Payloads as files root/<label>/<name>; each is written aside and renamed. Returns the files."""
+
+    def write(batches):
+        files, base = filesystem(root)
+        made, n = set(), 0
+        for batch in batches:
+            for label, name, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if label not in made:
+                    files.create_dir(f"{base}/{label}", recursive=True)
+                    made.add(label)
+                with files.open_output_stream(f"{base}/{label}/._{name}.part") as out:
+                    out.write(payload)
+                files.move(f"{base}/{label}/._{name}.part", f"{base}/{label}/{name}")
+                n += 1
+        yield pa.record_batch([pa.array([n])], ["n"])
+
+    own = samples.select(F.col("label").cast("string"), "name", "payload")
+    return own.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def write_webdataset(samples: DataFrame, root: str) -> DataFrame:
     """Archives of <key>.<ext> and <key>.cls from samples (shard, ordinal, ext, payload, label); returns (name, shard), the index of names."""
     ext = F.regexp_replace(F.lower("ext"), r"^\.?(jpeg|jpe|jpg)$", "jpg")
@@ -115,8 +163,10 @@ def write_webdataset(samples: DataFrame, root: str) -> DataFrame:
     return materialize(own.mapInArrow(write, "name string, shard long"), "webdataset")
 
 
-def write_record_files(samples: DataFrame, root: str) -> int:
-    """TFRecord files of {image, label} Examples, one per partition of samples (payload, label). Returns the records."""
+def write_record_files(samples: DataFrame, root: str, index: bool = False) -> int:
+    """TFRecord files of {image, label} Examples, one per partition of samples (payload, label). Returns the records.
+
+    index: also root_index/<part>.idx, a line 'offset size' for each record."""
 
     def write(batches):
         from pyspark import TaskContext
@@ -125,11 +175,19 @@ def write_record_files(samples: DataFrame, root: str) -> int:
         files.create_dir(base, recursive=True)
         table, task, n = _crc_table(), TaskContext.get(), 0
         name = f"{base}/part-{task.partitionId():06d}.tfrecord"
+        places, at = [], 0
         with files.open_output_stream(f"{name}.{task.taskAttemptId()}") as out:
             for batch in batches:
                 for payload, label in zip(*(c.to_pylist() for c in batch.columns)):
-                    out.write(frame_record(encode_example({"image": payload, "label": label.encode()}), table))
+                    raw = frame_record(encode_example({"image": payload, "label": label.encode()}), table)
+                    out.write(raw)
+                    places.append(f"{at} {len(raw)}\n")
+                    at += len(raw)
                     n += 1
+        if index:
+            files.create_dir(f"{base}_index", recursive=True)
+            with files.open_output_stream(f"{base}_index/part-{task.partitionId():06d}.idx") as out:
+                out.write("".join(places).encode())
         files.move(f"{name}.{task.taskAttemptId()}", name)
         yield pa.record_batch([pa.array([n])], ["n"])
 

@@ -1,7 +1,8 @@
 """Tar shards as Spark data sources.
 
-tar_shards: payloads of a catalog's objects. The driver groups the wanted objects by shard into input partitions; each reader opens its shard once and
-reads the ranges in order of offset. Filters on shard_id prune partitions, filters on path prune objects; without the payload column nothing is read from shards.
+tar_shards: payloads of a catalog's objects. The driver reads the footers of the catalog's Parquet files only and cuts their row groups into ranges of rows; each
+reader takes its own rows, in order of shard and offset, and reads neighbours in one go. Footers' statistics prune row groups by shard_id and path, filters then prune
+objects; without the payload column nothing is read from shards. write_catalog sorts a catalog by shard and offset, so that readers share few shards.
 
 tar_members: the records of archives in a folder, one partition per archive (or glob), name, stem, ext, offset, size and payload.
 """
@@ -9,7 +10,6 @@ tar_members: the records of archives in a folder, one partition per archive (or
 from __future__ import annotations
 
 import io
-import json
 import os
 import tarfile
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 BATCH_BYTES = 4 << 20
+ROWS, SPAN, GAP = 16_384, 8 << 20, 64 << 10
 
 
 def filesystem(path: str):
@@ -31,10 +32,12 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-class Shard(InputPartition):
-    def __init__(self, shard_id: int, ranges: list) -> None:
-        super().__init__(shard_id)
-        self.shard_id, self.ranges = shard_id, ranges
+class Rows(InputPartition):
+    """Rows [start, stop) of one row group of a catalog file."""
+
+    def __init__(self, file: str, group: int, start: int, stop: int) -> None:
+        super().__init__((file, group, start))
+        self.file, self.group, self.start, self.stop = file, group, start, stop
 
 
 class ShardReader(DataSourceReader):
@@ -56,61 +59,96 @@ class ShardReader(DataSourceReader):
                 self.paths = values if self.paths is None else self.paths & values
             yield f
 
+    def _hopeless(self, group) -> bool:
+        """Whether a row group's statistics exclude all wanted shards or paths."""
+        for i in range(group.num_columns):
+            c = group.column(i)
+            wanted = {"shard_id": self.shards, "path": self.paths}.get(c.path_in_schema)
+            if wanted is not None and c.statistics is not None and c.statistics.has_min_max and not any(c.statistics.min <= w <= c.statistics.max for w in wanted):
+                return True
+        return False
+
     def partitions(self):
         import pyarrow.dataset as ds
+        import pyarrow.parquet as pq
 
         files, at = filesystem(self.objects)
-        condition = ~ds.field("deleted")
-        if self.shards is not None:
-            condition = condition & ds.field("shard_id").isin(sorted(self.shards))
-        if self.paths is not None:
-            condition = condition & ds.field("path").isin(sorted(self.paths))
-        data = ds.dataset(at, filesystem=files, format="parquet", exclude_invalid_files=True)
-        shards = data.to_table(columns=["shard_id"], filter=condition).column(0).unique().to_pylist()
-        # readers read their own ranges from the catalog: the driver holds shard numbers only
-        return [Shard(s, []) for s in sorted(shards)] or [Shard(0, None)]
+        out = []
+        for name in ds.dataset(at, filesystem=files, format="parquet", exclude_invalid_files=True).files:
+            with files.open_input_file(name) as f:
+                meta = pq.read_metadata(f)
+            for g in range(meta.num_row_groups):
+                group = meta.row_group(g)
+                if not self._hopeless(group):
+                    out += [Rows(name, g, i, min(i + ROWS, group.num_rows)) for i in range(0, group.num_rows, ROWS)]
+        return out or [Rows("", 0, 0, 0)]
+
+    def _wanted(self, part: Rows) -> pa.Table:
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+
+        files, _ = filesystem(self.objects)
+        with files.open_input_file(part.file) as f:
+            rows = pq.ParquetFile(f).read_row_group(part.group, columns=["path", "shard_id", "offset", "size", "deleted", "object_metadata"]).slice(part.start, part.stop - part.start)
+        keep = pc.invert(rows.column("deleted"))
+        for name, values in (("shard_id", self.shards), ("path", self.paths)):
+            if values is not None:
+                keep = pc.and_(keep, pc.is_in(rows.column(name), pa.array(sorted(values), rows.schema.field(name).type)))
+        return rows.filter(keep).sort_by([("shard_id", "ascending"), ("offset", "ascending")])
 
     def read(self, partition):
-        import pyarrow.dataset as ds
+        import numpy as np
 
-        if partition.ranges is None:
+        if not partition.file:
             return
-        files, at = filesystem(self.objects)
-        condition = ~ds.field("deleted") & (ds.field("shard_id") == partition.shard_id)
-        if self.paths is not None:
-            condition = condition & ds.field("path").isin(sorted(self.paths))
-        wanted = ds.dataset(at, filesystem=files, format="parquet", exclude_invalid_files=True).to_table(columns=["path", "shard_id", "offset", "size", "object_metadata"], filter=condition).sort_by("offset")
+        wanted = self._wanted(partition)
         if "payload" not in self.names:
             yield from wanted.select(self.names).to_batches()
             return
+        shard, offset, size = (np.asarray(wanted.column(c)).astype(np.int64) for c in ("shard_id", "offset", "size"))
+        end = offset + size
         files, root = filesystem(self.root)
+        i, now, f, length = 0, None, None, 0
         try:
-            handle = files.open_input_file(f"{root}/shard_{partition.shard_id}")
-        except OSError:
-            if self.ignore:
-                return
-            raise
-        with handle as f:
-            rows, size = [], 0
-            for row in wanted.to_pylist():
-                f.seek(row["offset"])
-                row["payload"] = f.read(row["size"])
-                if len(row["payload"]) < row["size"]:
-                    if self.ignore:
-                        continue
-                    raise OSError(f"shard_{partition.shard_id} ends before {row['path']}")
-                rows.append(row)
-                size += row["size"] + 100
-                if size >= BATCH_BYTES:
-                    yield self._batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield self._batch(rows)
-
-    def _batch(self, rows):
-        kinds = {"path": pa.string(), "shard_id": pa.int32(), "offset": pa.int64(), "size": pa.int64(), "object_metadata": pa.binary(), "payload": pa.binary()}
-        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[n]) for n in self.names], names=self.names)
-
+            while i < len(shard):
+                if shard[i] != now:
+                    if f is not None:
+                        f.close()
+                    now, f = shard[i], None
+                    try:
+                        f = files.open_input_file(f"{root}/shard_{now}")
+                        length = f.size()
+                    except OSError:
+                        if not self.ignore:
+                            raise
+                j = i + 1
+                # neighbours are read in one go
+                while j < len(shard) and shard[j] == now and offset[j] - end[j - 1] <= GAP and end[j] - offset[i] <= SPAN:
+                    j += 1
+                whole = np.flatnonzero(end[i:j] <= length) + i if f is not None else np.zeros(0, np.int64)
+                if len(whole) < j - i and not self.ignore:
+                    lost = next(k for k in range(i, j) if end[k] > length)
+                    raise OSError(f"shard_{now} ends before {wanted.column('path')[lost].as_py()}")
+                if len(whole):
+                    f.seek(int(offset[whole[0]]))
+                    raw = f.read_buffer(int(end[whole].max() - offset[whole[0]]))
+                    yield from self._batches(wanted, whole, raw, offset - offset[whole[0]], size)
+                i = j
+        finally:
+            if f is not None:
+                f.close()
+
+    def _batches(self, wanted: pa.Table, rows, raw: pa.Buffer, at, size):
+        """Rows with their payloads out of one span, in batches of bounded size."""
+        import numpy as np
+
+        view = memoryview(raw)
+        cuts = np.searchsorted(np.cumsum(size[rows] + 100), np.arange(BATCH_BYTES, int((size[rows] + 100).sum()), BATCH_BYTES))
+        for own in np.split(rows, np.unique(cuts)):
+            if len(own):
+                payload = pa.array([view[at[k] : at[k] + size[k]] for k in own], pa.binary())
+                batch = wanted.take(pa.array(own)).append_column("payload", payload)
+                yield from batch.select(self.names).combine_chunks().to_batches()
 
 class ShardSource(DataSource):
     @classmethod
@@ -162,24 +200,47 @@ def read_tars(spark: SparkSession, root: str, glob: str = "*.tar") -> DataFrame:
     return files.mapInArrow(tar_members, MEMBERS)
 
 
-def tar_header_errors(batches):
-    """(path, content, objects as JSON) to (path, error): what a validator finds at each object's header."""
-    for batch in batches:
-        out = []
-        for path, content, objects in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            raw = memoryview(content.as_buffer())
-            for o in sorted(json.loads(objects), key=lambda o: o["offset"]):
-                head = bytes(raw[o["offset"] - 512 : o["offset"]]) if o["offset"] >= 512 else b""
-                if len(head) < 512 or o["offset"] + o["size"] > len(raw):
-                    out.append((o["path"], "beyond the shard"))
+def write_catalog(objects: DataFrame, path: str) -> None:
+    """A catalog table in the order of shards and offsets, so that a reader's rows lie in few shards."""
+    objects.repartitionByRange("shard_id", "offset").sortWithinPartitions("shard_id", "offset").write.parquet(path)
+
+
+def tar_header_errors(root: str):
+    """(path, shard_id, offset, size), sorted by shard and offset, to (path, error): what stands in the 512 bytes before each object."""
+
+    def check(batches):
+        files, base = filesystem(root)
+        now, f, length = None, None, 0
+        for batch in batches:
+            out = []
+            for path, shard, offset, size in zip(*(c.to_pylist() for c in batch.columns)):
+                if shard != now:
+                    if f is not None:
+                        f.close()
+                    now, f, length = shard, None, 0
+                    try:
+                        f = files.open_input_file(f"{base}/shard_{shard}")
+                        length = f.size()
+                    except OSError:
+                        pass
+                if f is None:
+                    out.append((path, "no shard"))
+                    continue
+                if offset < 512 or offset + size > length:
+                    out.append((path, "beyond the shard"))
                     continue
+                f.seek(offset - 512)
                 try:
-                    info = tarfile.TarInfo.frombuf(head, "utf-8", "surrogateescape")
+                    info = tarfile.TarInfo.frombuf(f.read(512), "utf-8", "surrogateescape")
                 except tarfile.HeaderError:
-                    out.append((o["path"], "no tar header"))
+                    out.append((path, "no tar header"))
                     continue
-                if info.name not in (o["path"], os.path.basename(o["path"])):
-                    out.append((o["path"], f"name {info.name}"))
-                elif info.size != o["size"]:
-                    out.append((o["path"], f"size {info.size}"))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(2)], names=["path", "error"])
+                if info.name not in (path, os.path.basename(path)):
+                    out.append((path, f"name {info.name}"))
+                elif info.size != size:
+                    out.append((path, f"size {info.size}"))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(2)], names=["path", "error"])
+        if f is not None:
+            f.close()
+
+    return check

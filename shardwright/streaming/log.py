@@ -72,24 +72,45 @@ def generations(records: DataFrame, objects: DataFrame, strict: bool = False) ->
 
 
 def rename_records(ops: DataFrame) -> DataFrame:
-    """(seq, path, live, size) events of put, delete and rename rows in log order. A rename ends its source and gives the target what the source had.
+    """(seq, path, live, size) events of put, delete and rename rows (seq, op, path, target, size) in log order.
 
-    Sizes follow chains of renames of the same batch only through the state before it: the source is looked up as it was at that seq
-    by its last put, as of the rename."""
+    A rename of a live path ends it and gives the target what it had; one of a dead path does nothing. What a path holds just before a rename is
+    decided by its last event, a constant for puts, deletes and renames away from it (which leave it dead in any case), and for a rename onto it
+    either what that rename brought or, if its source was dead, what stood there before. So each rename points to at most two earlier ones, and each round settles
+    those that point to settled ones; rounds are as many as renames follow one another on one object's way, whatever the length of the log."""
     from pyspark.sql import Window
 
-    puts = ops.where("op = 'put'").select("seq", "path", F.lit(True).alias("live"), "size")
-    dels = ops.where("op = 'delete'").select("seq", "path", F.lit(False).alias("live"), F.lit(None).cast("long").alias("size"))
-    moves = ops.where("op = 'rename'")
-    # as-of lookup: the state of the source just before, from puts and deletes, by one window over the union
-    facts = puts.unionByName(dels).select("path", "seq", "live", "size", F.lit(False).alias("ask"), F.lit(None).cast("string").alias("target"))
-    asks = moves.select("path", "seq", F.lit(None).cast("boolean").alias("live"), F.lit(None).cast("long").alias("size"), F.lit(True).alias("ask"), "target")
-    w = Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    known = facts.unionByName(asks).withColumn("state", F.last(F.when(~F.col("ask"), F.struct("live", "size")), ignorenulls=True).over(w))
-    found = known.where("ask and state.live")
-    ended = found.select("seq", "path", F.lit(False).alias("live"), F.lit(None).cast("long").alias("size"))
-    made = found.select("seq", F.col("target").alias("path"), F.lit(True).alias("live"), F.col("state.size").alias("size"))
-    return puts.unionByName(dels).unionByName(ended).unionByName(made)
+    from ..storage import materialize
+
+    value = "struct<live:boolean,size:bigint>"
+    dead = F.struct(F.lit(False).alias("live"), F.lit(None).cast("long").alias("size")).cast(value)
+    facts = ops.where("op <> 'rename'").select("seq", "path", F.when(F.col("op") == "put", F.struct(F.lit(True).alias("live"), F.col("size").cast("long").alias("size")).cast(value)).otherwise(dead).alias("v"))
+    moves = ops.where("op = 'rename'").select("seq", "path", "target")
+    none = F.lit(None).cast("long")
+    # events by path: a value, or the rename that decides it; asks look back from just before
+    events = facts.select("path", "seq", F.col("v"), none.alias("by"), F.lit(True).alias("event"), F.lit(None).cast("string").alias("role"))
+    events = events.unionByName(moves.select("path", "seq", dead.alias("v"), none.alias("by"), F.lit(True).alias("event"), F.lit("source").alias("role")))
+    events = events.unionByName(moves.where("path <> target").select(F.col("target").alias("path"), "seq", F.lit(None).cast(value).alias("v"), F.col("seq").alias("by"), F.lit(True).alias("event"), F.lit("target").alias("role")))
+    back = Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    seen = events.withColumn("before", F.last(F.struct("v", "by")).over(back)).where("role is not null")
+    one = lambda r, n: F.first(F.when(F.col("role") == r, F.struct(F.lit(True).alias("here"), F.col("before.v").alias("v"), F.col("before.by").alias("by"))), ignorenulls=True).alias(n)
+    known = seen.groupBy("seq").agg(one("source", "s"), one("target", "t"))
+    # s: what the source held; t: what the target held; each a value (dead where there was nothing) or the number of a rename
+    settle = lambda c: F.when(F.col(f"{c}.by").isNull(), F.coalesce(F.col(f"{c}.v"), dead))
+    open_ = materialize(known.select("seq", settle("s").alias("sv"), F.col("s.by").alias("sb"), settle("t").alias("tv"), F.col("t.by").alias("tb")), "renames")
+    # r: what the source held, once it is known; a: what the target holds after it
+    outcome = F.when(F.col("sv.live"), F.col("sv")).when(F.col("sv").isNotNull() & F.col("tv").isNotNull(), F.col("tv"))
+    while True:
+        state = open_.withColumn("a", outcome)
+        done = state.where("a is not null").select(F.col("seq").alias("k"), F.col("a").alias("av"))
+        left = state.join(done.withColumnsRenamed({"k": "sb", "av": "sa"}), "sb", "left").join(done.withColumnsRenamed({"k": "tb", "av": "ta"}), "tb", "left")
+        open_ = materialize(left.select("seq", F.coalesce("sv", "sa").alias("sv"), "sb", F.coalesce("tv", "ta").alias("tv"), "tb"), "renames")
+        if open_.where("sv is null").isEmpty():
+            break
+    found = moves.join(open_.select("seq", F.col("sv").alias("v")), "seq").where("v.live")
+    ended = found.where("path <> target").select("seq", "path", F.lit(False).alias("live"), F.lit(None).cast("long").alias("size"))
+    made = found.select("seq", F.col("target").alias("path"), F.lit(True).alias("live"), F.col("v.size").alias("size"))
+    return facts.select("seq", "path", "v.live", "v.size").unionByName(ended).unionByName(made)
 
 
 def snapshot_as_of(events: DataFrame, seq: int) -> DataFrame:

@@ -69,7 +69,7 @@ def test_vacuum_and_checkpoint(engine):
     engine.checkpoint()
     assert Engine(engine.spark, engine.root).read("z") == b"zz" and engine.commits() == []
     objects, _ = engine.state()
-    assert validate.payload_problems(engine.spark, engine.root, objects).count() == 0
+    assert validate.payload_problems(engine.root, objects).count() == 0
     for p in engine.list():
         engine.delete(p)
     assert engine.vacuum()["new_shards"] == 0 and engine.list() == []
@@ -119,11 +119,106 @@ def test_shard_source_prunes(spark, engine):
     n = engine.current()["version"]
     df = tar.read_shards(spark, engine.root, f"{engine.root}/versions/{n}/objects")
     one = df.where("shard_id = 1")
-    assert one.rdd.getNumPartitions() == 1 and one.count() == engine.objects().where("shard_id = 1").count()
+    assert one.count() == engine.objects().where("shard_id = 1").count()
     assert tar.read_object(spark, engine.root, f"{engine.root}/versions/{n}/objects", "f002") == FILES["f002"]
     assert tar.read_object(spark, engine.root, f"{engine.root}/versions/{n}/objects", "none") is None
 
 
+def test_ingest_twice(engine):
+    """A second load gets new shards, also beside files that no catalog names; both loads stay readable, through vacuum too."""
+    frame = lambda items: engine.spark.createDataFrame([(p, b, None) for p, b in items.items()], "path string, payload binary, object_metadata binary")
+    more = {f"g{i}": b"MORE-%d" % i * 50 for i in range(5)}
+    (root := __import__("pathlib").Path(engine.root)).joinpath("shard_77").write_bytes(b"left by a writer that died")
+    engine.ingest(frame(more), target=1500)
+    assert {r.shard_id for r in engine.objects().where("path like 'g%'").collect()} <= set(range(78, 90)) and root.joinpath("shard_77").read_bytes() == b"left by a writer that died"
+    assert all(engine.read(p) == b for p, b in {**FILES, **more}.items())
+    engine.ingest(frame({"g0": b"again"}))
+    engine.transaction().rename("g1", "h").rename("h", "i").delete("f000").commit()
+    want = {**FILES, **more, "g0": b"again", "i": more["g1"]}
+    for gone in ("g1", "f000"):
+        del want[gone]
+    for _ in range(2):
+        assert engine.list() == sorted(want) and all(engine.read(p) == b for p, b in want.items())
+        engine.vacuum(target=3000)
+    assert not root.joinpath("shard_77").exists()
+
+
+def test_one_writer(engine):
+    """Of writers that race each commit is whole or refused; none is lost."""
+    import threading
+
+    done, busy = [], []
+
+    def write(i):
+        for k in range(3):
+            try:
+                engine.put(f"w{i}-{k}", b"%d" % i)
+                done.append(f"w{i}-{k}")
+            except Busy:
+                busy.append(i)
+
+    threads = [threading.Thread(target=write, args=(i,)) for i in range(4)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert done and set(done) <= set(engine.list()) and len(engine.commits()) == len(done)
+    with engine.exclusive(), pytest.raises(Busy):
+        engine.put("x", b"")
+    with pytest.raises(FileExistsError):
+        engine._put_new(f"log/{engine.last_seq():020d}.json", b"{}")
+
+
+def test_wait_is_interrupted(spark):
+    """The timeout ends a wait that goes on; batches before it arrive, errors pass."""
+    import time
+
+    from shardwright.plans.engine import timed
+
+    def slow():
+        yield 1
+        time.sleep(30)
+
+    start, got = time.monotonic(), []
+    with pytest.raises(TimeoutError):
+        for x in timed(spark, slow, 1.0):
+            got.append(x)
+    assert got == [1] and time.monotonic() - start < 10 and list(timed(spark, lambda: iter(range(5)), 5)) == list(range(5))
+    with pytest.raises(ZeroDivisionError):
+        list(timed(spark, lambda: (1 / x for x in (1, 0)), 5))
+
+
+def test_rename_chains(spark):
+    """Renames in a chain, onto a live path, from a dead one, back and forth, against one pass in order."""
+    import random
+
+    r = random.Random(2)
+    ops = [(i, *r.choice([("put", "p"), ("delete", "p"), ("rename", "p"), ("rename", "p")])) for i in range(400)]
+    ops = [(i, op, f"p{r.randrange(12)}", f"p{r.randrange(12)}" if op == "rename" else None, i * 10 if op == "put" else None) for i, op, _ in ops]
+    state, log_rows = {}, []
+    for seq, op, path, target, size in ops:
+        if op == "put":
+            state[path] = size
+        elif op == "delete":
+            state.pop(path, None)
+        elif path in state:
+            state[target] = state.pop(path)
+    events = log.rename_records(spark.createDataFrame(ops, "seq long, op string, path string, target string, size long"))
+    assert {x.path: x.size for x in log.snapshot_as_of(events, 1000).collect()} == state
+    one = log.rename_records(spark.createDataFrame([(1, "put", "a", None, 5), (2, "rename", "a", "b", None), (3, "rename", "b", "c", None)], "seq long, op string, path string, target string, size long"))
+    assert [(x.path, x.size) for x in log.snapshot_as_of(one, 9).collect()] == [("c", 5)]
+
+
+def test_header_checks_find_faults(engine):
+    objects = engine.objects()
+    path = f"{engine.root}/shard_{objects.where('path = \'f003\'').first().shard_id}"
+    raw = bytearray(open(path, "rb").read())
+    row = objects.where("path = 'f003'").first()
+    raw[row.offset - 512 : row.offset] = bytes(512)
+    open(path, "wb").write(raw)
+    bad = objects.withColumn("size", F.when(F.col("path") == "f005", F.col("size") + 1).otherwise(F.col("size"))).withColumn("shard_id", F.when(F.col("path") == "f006", F.lit(99)).otherwise(F.col("shard_id")))
+    got = {r.path: r.error for r in validate.payload_problems(engine.root, bad).collect()}
+    assert set(got) == {"f003", "f005", "f006"} and got["f006"] == "no shard"
+
+
 def test_command_line(spark, tmp_path, capsys):
     for lab, name in (("a", "1.jpg"), ("b", "2.jpg"), ("b", "._x.jpg")):
         (tmp_path / "src" / lab).mkdir(parents=True, exist_ok=True)
@@ -175,7 +270,18 @@ def test_payloads(spark):
     assert mel.shape == (32, 81) and len(second) == 16000
     a, ops = P.augmented(np.ones(500, np.float32) * 0.1, 3, 7)
     b, _ = P.augmented(np.ones(500, np.float32) * 0.1, 3, 7)
-    assert (a == b).all() and "roll=" in ops and "polarity" in ops and a.mean() < 0
+    assert (a == b).all() and [x[0] for x in ops] == ["gain_db", "shift", "inverted"] and a.mean() < 0
+    base = np.sin(np.arange(4000) / 9).astype(np.float32)[:, None] * np.float32([0.5, 0.4])
+    for replica in range(14):
+        x, ops = P.augmented(base, replica, 5)
+        done = {n: v for n, *v in ops}
+        assert x.shape == base.shape and x.dtype == np.float32 and np.abs(x).max() <= np.float32(P.PEAK) and abs(done["gain_db"][0]) <= 4
+        assert set(done) - {"gain_db"} == {n for n, k, r in (("shift", 2, 1), ("noise", 3, 1), ("damped", 5, 2), ("inverted", 7, 3)) if replica % k == r}
+        if set(done) == {"gain_db"}:
+            assert np.allclose(x, base * 10 ** (done["gain_db"][0] / 20), atol=1e-6)
+        if "damped" in done:
+            assert 0 <= done["damped"][0] < done["damped"][1] <= 4000
+    assert [x[0] for x in P.augmented(np.zeros(5, np.float32), 7, 1)[1]] == ["gain_db", "noise"]
     image = b"P6 2 2 255\n" + bytes(range(12))
     rows = spark.createDataFrame([(image,), (b"broken",)], "payload binary").select(P.rgb_bytes(4)("payload").alias("x")).collect()
     assert len(rows[0].x) == 48 and rows[1].x is None

@@ -52,7 +52,7 @@ def url_functions(spark, sf_dir):
 
 
 @query("""WITH n AS (SELECT p_partkey, p_size::BIGINT * (1::BIGINT << (p_partkey % 5 * 10)::INT) * 2 AS n FROM part)
-SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN n || ' B' ELSE format('{:.2f} ', p_size * 2.0) || ['KiB', 'MiB', 'GiB', 'TiB'][(p_partkey % 5)::INT] END AS shown, p_size * 536870912 AS bytes,
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN n || ' B' ELSE format('{:.2f} ', p_size * 2.0) || ['KiB', 'MiB', 'GiB', 'TiB'][(p_partkey % 5)::INT] END AS shown, p_size::BIGINT * 536870912 AS bytes,
 round(pow(10.0, (p_size - 25) / 20), 9) AS gain, p_size - 5 >= 0 AND p_size + 5 <= 50 AS inside FROM n JOIN part USING (p_partkey)""")
 def unit_functions(spark, sf_dir):
     size = F.col("p_size").cast("long")

@@ -74,7 +74,7 @@ def generations(records: DataFrame, objects: DataFrame, strict: bool = False) ->
 def rename_records(ops: DataFrame) -> DataFrame:
     """(seq, path, live, size) events of put, delete and rename rows (seq, op, path, target, size) in log order.
 
-    A rename of a live path ends it and gives the target what it had; one of a dead path does nothing. What a path holds just before a rename is
+    A rename of a live path ends it and gives the target what it had; one of a dead path, or of a path to itself, does nothing. What a path holds just before a rename is
     decided by its last event, a constant for puts, deletes and renames away from it (which leave it dead in any case), and for a rename onto it
     either what that rename brought or, if its source was dead, what stood there before. So each rename points to at most two earlier ones, and each round settles
     those that point to settled ones; rounds are as many as renames follow one another on one object's way, whatever the length of the log."""
@@ -85,12 +85,12 @@ def rename_records(ops: DataFrame) -> DataFrame:
     value = "struct<live:boolean,size:bigint>"
     dead = F.struct(F.lit(False).alias("live"), F.lit(None).cast("long").alias("size")).cast(value)
     facts = ops.where("op <> 'rename'").select("seq", "path", F.when(F.col("op") == "put", F.struct(F.lit(True).alias("live"), F.col("size").cast("long").alias("size")).cast(value)).otherwise(dead).alias("v"))
-    moves = ops.where("op = 'rename'").select("seq", "path", "target")
+    moves = ops.where("op = 'rename' and path <> target").select("seq", "path", "target")
     none = F.lit(None).cast("long")
     # events by path: a value, or the rename that decides it; asks look back from just before
     events = facts.select("path", "seq", F.col("v"), none.alias("by"), F.lit(True).alias("event"), F.lit(None).cast("string").alias("role"))
     events = events.unionByName(moves.select("path", "seq", dead.alias("v"), none.alias("by"), F.lit(True).alias("event"), F.lit("source").alias("role")))
-    events = events.unionByName(moves.where("path <> target").select(F.col("target").alias("path"), "seq", F.lit(None).cast(value).alias("v"), F.col("seq").alias("by"), F.lit(True).alias("event"), F.lit("target").alias("role")))
+    events = events.unionByName(moves.select(F.col("target").alias("path"), "seq", F.lit(None).cast(value).alias("v"), F.col("seq").alias("by"), F.lit(True).alias("event"), F.lit("target").alias("role")))
     back = Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     seen = events.withColumn("before", F.last(F.struct("v", "by")).over(back)).where("role is not null")
     one = lambda r, n: F.first(F.when(F.col("role") == r, F.struct(F.lit(True).alias("here"), F.col("before.v").alias("v"), F.col("before.by").alias("by"))), ignorenulls=True).alias(n)
@@ -108,7 +108,7 @@ def rename_records(ops: DataFrame) -> DataFrame:
         if open_.where("sv is null").isEmpty():
             break
     found = moves.join(open_.select("seq", F.col("sv").alias("v")), "seq").where("v.live")
-    ended = found.where("path <> target").select("seq", "path", F.lit(False).alias("live"), F.lit(None).cast("long").alias("size"))
+    ended = found.select("seq", "path", F.lit(False).alias("live"), F.lit(None).cast("long").alias("size"))
     made = found.select("seq", F.col("target").alias("path"), F.lit(True).alias("live"), F.col("v.size").alias("size"))
     return facts.select("seq", "path", "v.live", "v.size").unionByName(ended).unionByName(made)
 

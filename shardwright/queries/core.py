@@ -489,8 +489,8 @@ def content_sha1(spark, sf_dir):
 
 @query("""SELECT doc_id, length(text)::DOUBLE AS chars, len(list_distinct(string_split(text, '')))::DOUBLE AS kinds, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS spaces, length(source)::DOUBLE AS path FROM documents""")
 def text_features(spark, sf_dir):
-    v = X.text_statistics(F.col("text"), F.col("source"))
-    return scan(spark, sf_dir, "documents").select("doc_id", v.alias("v")).select("doc_id", *[F.col("v")[i].alias(n) for i, n in enumerate(("chars", "kinds", "spaces", "path"))])
+    counts = X.text_counts(F.col("text"), F.col("source"))
+    return scan(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for c, n in zip(counts, ("chars", "kinds", "spaces", "path"))])
 
 
 @query("""WITH b AS (SELECT vec_id, embedding AS e FROM embeddings) SELECT vec_id, len(list_concat(e, [0.0 FOR x IN range(80 - len(e))])[1:80])::INT AS n, round(list_sum(e)::DOUBLE, 3) AS total FROM b""")

@@ -328,3 +328,11 @@ def test_text_byte_shares(spark, tmp_path):
         for b in raw:
             want[b % 128] += 1 / len(raw)
         assert got[i] == pytest.approx(want, abs=1e-9)
+
+
+def test_text_features_keep_null_and_empty_texts(spark, tmp_path):
+    from shardwright.queries import core
+
+    spark.createDataFrame([(1, "aa b", "xyz"), (2, "", ""), (3, None, "s"), (4, "é😀", None)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in core.text_features(spark, str(tmp_path)).collect()}
+    assert got == {(1, 4.0, 3.0, 1.0, 3.0), (2, 0.0, 1.0, 0.0, 0.0), (3, None, None, None, 1.0), (4, 2.0, 2.0, 0.0, None)}

@@ -191,7 +191,7 @@ f AS (SELECT rn, page_id, n, 0::BIGINT AS shard, n::BIGINT AS paid FROM o WHERE
   SELECT o.rn, o.page_id, o.n, f.shard + (CASE WHEN f.paid + o.n > 100000 THEN 1 ELSE 0 END), CASE WHEN f.paid + o.n > 100000 THEN 0 ELSE f.paid END + o.n FROM f JOIN o ON o.rn = f.rn + 1)
 SELECT lpad((rn - 1)::VARCHAR, 8, '0') || '.html' AS name, shard FROM f""")
 def webdataset_roll(spark, sf_dir):
-    """Archives that end before their payloads pass the target, and the index of names; one range holds 16 shards, so this is the sequential rule up to there."""
+    """Archives that end before their payloads pass the target, and the index of names."""
     path = scratch_path(spark, "web")
     pages = scan(spark, sf_dir, "pages").select("page_id", F.lit(".html").alias("ext"), F.encode("html", "UTF-8").alias("payload"), F.pmod("page_id", F.lit(7)).alias("label"))
     written = sinks.write_webdataset(sinks.webdataset_shards(pages, ["page_id"], 100_000), path)

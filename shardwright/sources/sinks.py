@@ -79,13 +79,14 @@ WEB_TARGET = 500 << 20
 
 
 def webdataset_shards(samples: DataFrame, order: list[str], target: int = WEB_TARGET) -> DataFrame:
-    """samples (ext, payload, label, ...) with ordinal in the order and shard, a new one as soon as payload bytes would pass target; only (order, size) is packed."""
+    """samples (ext, payload, label, ...) with ordinal in the order and shard, a new one as soon as payload bytes would pass target.
+
+    The rule is sequential at any size: only (ordinal, size) goes through its one task, 24 bytes a sample."""
     from ..operators.ordered import numbered
-    from ..operators.packing import pack_ranges
+    from ..operators.packing import pack
 
-    sized = numbered(samples.select(*order, F.octet_length("payload").cast("long").alias("__size")), order, name="__index").withColumn("ordinal", F.col("__index").cast("long"))
-    total = sized.agg(F.sum("__size")).first()[0] or 0
-    placed = pack_ranges(sized, ["ordinal"], "ordinal", "__size", "flat", target, max(1, total // (16 * target)))
+    sized = numbered(samples.select(*order, F.octet_length("payload").cast("long").alias("__size")), order, 18, "__index").withColumn("ordinal", F.col("__index").cast("long"))
+    placed = pack(sized, ["ordinal"], "ordinal", "__size", "flat", target)
     keyed = sized.join(placed.select("ordinal", "shard"), "ordinal").select(*order, "ordinal", "shard")
     return samples.join(keyed, order)
 

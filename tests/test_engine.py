@@ -336,3 +336,13 @@ def test_text_features_keep_null_and_empty_texts(spark, tmp_path):
     spark.createDataFrame([(1, "aa b", "xyz"), (2, "", ""), (3, None, "s"), (4, "é😀", None)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {tuple(r) for r in core.text_features(spark, str(tmp_path)).collect()}
     assert got == {(1, 4.0, 3.0, 1.0, 3.0), (2, 0.0, 1.0, 0.0, 0.0), (3, None, None, None, 1.0), (4, 2.0, 2.0, 0.0, None)}
+
+
+def test_webdataset_shards_roll_in_sequence_beyond_16_shards(spark):
+    from shardwright.operators.packing import fold
+
+    sizes = [i * 37 % 60 for i in range(400)]
+    samples = spark.createDataFrame([(i, b"x" * n) for i, n in enumerate(sizes)], "i long, payload binary").repartition(4)
+    got = {r.i: (r.ordinal, r.shard) for r in sinks.webdataset_shards(samples, ["i"], 100).collect()}
+    want = fold(np.array(sizes), "flat", 100)[0].tolist()
+    assert want[-1] > 64 and got == {i: (i, s) for i, s in enumerate(want)}

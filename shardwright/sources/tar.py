@@ -9,7 +9,6 @@ tar_members: the records of archives in a folder, one partition per archive (or
 
 from __future__ import annotations
 
-import io
 import os
 import tarfile
 
@@ -20,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, In
 
 BATCH_BYTES = 4 << 20
 ROWS, SPAN, GAP = 16_384, 8 << 20, 64 << 10
+CATALOG_GROUP = 2 << 20  # bytes of a catalog's row groups, about what a few readers take
 
 
 def filesystem(path: str):
@@ -32,6 +32,19 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def opened(path: str):
+    """A file of any length as a seekable stream; nothing but what is asked for is read."""
+    files, at = filesystem(path)
+    return files.open_input_file(at)
+
+
+def pieces(batches, rows: int = 64):
+    """Slices of batches: what is made of one is no more than of so many rows."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 class Rows(InputPartition):
     """Rows [start, stop) of one row group of a catalog file."""
 
@@ -89,7 +102,16 @@ class ShardReader(DataSourceReader):
 
         files, _ = filesystem(self.objects)
         with files.open_input_file(part.file) as f:
-            rows = pq.ParquetFile(f).read_row_group(part.group, columns=["path", "shard_id", "offset", "size", "deleted", "object_metadata"]).slice(part.start, part.stop - part.start)
+            rows, at = [], 0
+            # the row group is streamed and left behind the last row; it may be much longer than the part
+            for batch in pq.ParquetFile(f, buffer_size=1 << 20).iter_batches(ROWS, [part.group], ["path", "shard_id", "offset", "size", "deleted", "object_metadata"], use_threads=False):
+                low, high = max(part.start - at, 0), min(part.stop - at, batch.num_rows)
+                if low < high:
+                    rows.append(batch.slice(low, high - low))
+                at += batch.num_rows
+                if at >= part.stop:
+                    break
+            rows = pa.Table.from_batches(rows)
         keep = pc.invert(rows.column("deleted"))
         for name, values in (("shard_id", self.shards), ("path", self.paths)):
             if values is not None:
@@ -146,7 +168,10 @@ class ShardReader(DataSourceReader):
         cuts = np.searchsorted(np.cumsum(size[rows] + 100), np.arange(BATCH_BYTES, int((size[rows] + 100).sum()), BATCH_BYTES))
         for own in np.split(rows, np.unique(cuts)):
             if len(own):
-                payload = pa.array([view[at[k] : at[k] + size[k]] for k in own], pa.binary())
+                # pa.array of memoryviews never gives up their span, so the array is made of its buffers
+                cut = np.concatenate([[0], np.cumsum(size[own])]).astype(np.int32)
+                data = b"".join(view[at[k] : at[k] + size[k]] for k in own)
+                payload = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(cut), pa.py_buffer(data)])
                 batch = wanted.take(pa.array(own)).append_column("payload", payload)
                 yield from batch.select(self.names).combine_chunks().to_batches()
 
@@ -179,30 +204,36 @@ MEMBERS = "tar string, name string, stem string, ext string, offset long, size l
 
 
 def tar_members(batches):
-    """(path, content) batches to members; directories are skipped, names keep their folders."""
+    """Paths to members; directories are skipped, names keep their folders. Archives are streamed, in batches of bounded size."""
+    names = [x.split()[0] for x in MEMBERS.split(", ")]
+    kinds = [pa.string()] * 4 + [pa.int64()] * 2 + [pa.binary()]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
     for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            rows = []
-            with tarfile.open(fileobj=io.BytesIO(content.as_buffer())) as tar:
-                for m in tar:
+        for path in batch.column(0).to_pylist():
+            rows, held = [], 0
+            with opened(path) as f, tarfile.open(fileobj=f) as tar:
+                while (m := tar.next()) is not None:
+                    tar.members = []  # it would keep all headers
                     if m.isfile():
                         base = os.path.basename(m.name)
                         stem, ext = os.path.splitext(m.name)
                         rows.append((path, m.name, stem, ext.lower() if base != ext else "", m.offset_data, m.size, tar.extractfile(m).read()))
-            names = [x.split()[0] for x in MEMBERS.split(", ")]
-            kinds = [pa.string()] * 4 + [pa.int64()] * 2 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+                        held += m.size + 500
+                        if held >= BATCH_BYTES:
+                            yield made(rows)
+                            rows, held = [], 0
+            yield made(rows)
 
 
 def read_tars(spark: SparkSession, root: str, glob: str = "*.tar") -> DataFrame:
-    """Members of all archives that match; one archive is one record, so at most 2 GiB."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(root).select("path", "content")
+    """Members of all archives that match, whatever their length; each is streamed by one task."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(root).select("path")
     return files.mapInArrow(tar_members, MEMBERS)
 
 
 def write_catalog(objects: DataFrame, path: str) -> None:
     """A catalog table in the order of shards and offsets, so that a reader's rows lie in few shards."""
-    objects.repartitionByRange("shard_id", "offset").sortWithinPartitions("shard_id", "offset").write.parquet(path)
+    objects.repartitionByRange("shard_id", "offset").sortWithinPartitions("shard_id", "offset").write.option("parquet.block.size", CATALOG_GROUP).parquet(path)
 
 
 def tar_header_errors(root: str):

@@ -346,3 +346,23 @@ def test_webdataset_shards_roll_in_sequence_beyond_16_shards(spark):
     got = {r.i: (r.ordinal, r.shard) for r in sinks.webdataset_shards(samples, ["i"], 100).collect()}
     want = fold(np.array(sizes), "flat", 100)[0].tolist()
     assert want[-1] > 64 and got == {i: (i, s) for i, s in enumerate(want)}
+
+
+def test_shard_reader_lets_go_of_what_it_read(spark, engine):
+    """Each part's payloads are freed once their batch is gone; before, all stayed."""
+    import psutil
+
+    from shardwright.storage import scratch_path
+
+    big = Engine(spark, scratch_path(spark, "big"))
+    big.ingest(spark.range(64).select(F.concat(F.lit("p"), "id").alias("path"), F.expr("cast(repeat('x', 1048576) as binary)").alias("payload"), F.lit(None).cast("binary").alias("object_metadata")))
+    objects = big.pinned_objects(0, big.last_seq(), big.state()[0])
+    schema = tar.ShardSource({}).schema()
+    from pyspark.sql.types import _parse_datatype_string
+
+    reader = tar.ShardReader({"root": big.root, "objects": objects}, _parse_datatype_string(schema))
+    used = []
+    for _ in range(3):
+        assert sum(len(p) for part in reader.partitions() for b in reader.read(part) for p in b.column(5).to_pylist()) == 64 << 20
+        used.append(psutil.Process().memory_info().rss)
+    assert used[2] - used[0] < 48 << 20

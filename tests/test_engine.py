@@ -366,3 +366,15 @@ def test_shard_reader_lets_go_of_what_it_read(spark, engine):
         assert sum(len(p) for part in reader.partitions() for b in reader.read(part) for p in b.column(5).to_pylist()) == 64 << 20
         used.append(psutil.Process().memory_info().rss)
     assert used[2] - used[0] < 48 << 20
+
+
+def test_byte_shares_run_once_and_log_mel_in_pieces(spark):
+    raw = [bytes([i % 256]) * (i + 1) + b"aB" for i in range(300)] + [None, b""]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw binary")
+    h = df.select("i", P.byte_shares_udf(16, 8, lower=True)(F.col("raw")).alias("h")).select("i", F.posexplode("h").alias("bin", "share"))
+    assert h._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    got = {(r.i, r.bin): r.share for r in h.collect()}
+    assert len(got) == 302 * 8 and all(got[i, b] == pytest.approx(P.byte_shares(r or b"", 16, 8, True)[b]) for i, r in enumerate(raw) for b in range(8))
+    waves = spark.createDataFrame([(i, P.write_wave(np.full(400, i / 400, np.float32), 16_000) if i % 7 else b"no") for i in range(300)], "i int, raw binary").coalesce(1)
+    mel = {r.i: r.m for r in waves.select("i", P.log_mel_udf("raw").alias("m")).collect()}
+    assert all(mel[i] is None for i in range(0, 300, 7)) and mel[299] == pytest.approx(P.log_mel(P.one_second(P.write_wave(np.full(400, 299 / 400, np.float32), 16_000))).ravel().tolist())

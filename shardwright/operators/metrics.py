@@ -18,6 +18,30 @@ def percentile_or(value: Column, p: float, empty: float) -> Column:
     return F.coalesce(F.percentile(value, F.lit(p)), F.lit(empty))
 
 
+def percentiles(rows: DataFrame, group: str, value: str, quantiles: dict[str, float], empty: float) -> DataFrame:
+    """(group, a column for each quantile) as percentile_or, for groups of any size: no task holds the values of a group.
+
+    Equal values are counted first; ranks are running sums of the counts over ranges of (group, value), and a quantile lies between the values at two ranks."""
+    from .ordered import running
+
+    own = rows.select(F.col(group).alias("__g"), F.col(value).cast("double").alias("__x"))
+    upto = running(own.groupBy("__g", "__x").agg(F.count("__x").alias("__c")), ["__g", "__x"], "__c", "__upto")
+    groups = upto.groupBy("__g").agg(F.sum("__c").alias("__n"), F.min(F.col("__upto") - F.col("__c")).alias("__first"))
+    ranked = upto.where("__c > 0").join(groups.withColumnRenamed("__g", "__h"), F.col("__g").eqNullSafe(F.col("__h")))
+    low, high = F.col("__upto") - F.col("__c") - F.col("__first"), F.col("__upto") - F.col("__first")
+    at = lambda rank: F.max(F.when((low <= rank) & (rank < high), F.col("__x")))
+    place = {name: (F.col("__n") - 1) * F.lit(float(q)) for name, q in quantiles.items()}
+    ends = ranked.groupBy("__h", "__n").agg(*[at(cut(place[name])).alias(f"{name}_{side}") for name in quantiles for side, cut in (("low", F.floor), ("high", F.ceil))])
+
+    def between(name):
+        a, b, p = F.col(f"{name}_low"), F.col(f"{name}_high"), place[name]
+        return F.when(a.eqNullSafe(b), a).otherwise((F.ceil(p) - p) * a + (p - F.floor(p)) * b)
+
+    found = ends.select("__h", *[between(name).alias(name) for name in quantiles])
+    out = groups.select("__g").join(found, F.col("__g").eqNullSafe(F.col("__h")), "left")
+    return out.select(F.col("__g").alias(group), *[F.coalesce(name, F.lit(empty)).alias(name) for name in quantiles])
+
+
 def std_or_zero(value: Column) -> Column:
     return F.coalesce(F.stddev_samp(value), F.lit(0.0))
 

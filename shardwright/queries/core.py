@@ -117,7 +117,7 @@ def single_run_table(spark, sf_dir):
 
 @query(f"{RU} SELECT loader, quantile_cont(price, 0.5) AS p50, quantile_cont(price, 0.95) AS p95, quantile_cont(price, 0.99) AS p99 FROM runs GROUP BY loader")
 def loader_latency_percentiles(spark, sf_dir):
-    return T.runs(spark, sf_dir).groupBy("loader").agg(*[M.percentile_or(F.col("price"), q, float("nan")).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)])
+    return M.percentiles(T.runs(spark, sf_dir), "loader", "price", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, float("nan"))
 
 
 @query(f"""{RU} SELECT loader, round(avg(wait), 6) AS wait, round(avg(fb), 6) AS forward_backward, round(avg(opt), 6) AS optimizer, round(avg(greatest(0.0, 1 - wait - fb - opt)), 6) AS other FROM runs GROUP BY loader""")

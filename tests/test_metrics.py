@@ -116,3 +116,13 @@ def test_loader_spec():
     for bad in ({"workers": 0}, {"rank": 1}, {"seed": -1}, {"mode": "x"}, {"mode": "rgb_uint8"}, {"workers": 10, "max_workers": 9}, {"batch": 0}):
         with pytest.raises(ValueError):
             LoaderSpec(**bad)
+
+
+def test_percentiles_of_any_group(spark):
+    """Counted values and ranks give what Spark's percentile does, for groups of one value, repeated values, none and the null group."""
+    rows = [("a", float(i * 7 % 50) / 3) for i in range(101)] + [("b", 2.5)] * 7 + [("c", 1.0), ("d", None), ("e", 1.0), ("e", 4.0), (None, 3.0), (None, 9.0), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    q = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r.g: tuple(r)[1:] for r in M.percentiles(df, "g", "x", q, -1.0).collect()}
+    want = {r.g: tuple(r)[1:] for r in df.groupBy("g").agg(*[M.percentile_or(F.col("x"), p, -1.0).alias(n) for n, p in q.items()]).collect()}
+    assert got == want and len(got) == 6 and got["d"] == (-1.0,) * 4

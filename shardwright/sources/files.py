@@ -67,17 +67,18 @@ def video_folder(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".
 
 def zip_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] | None = None) -> DataFrame:
     """(archive, name, payload) without directories and resource forks."""
+    from .tar import opened
 
     def explode(batches):
         for batch in batches:
-            for where, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as z:
+            for where in batch.column(0).to_pylist():
+                with opened(where) as f, zipfile.ZipFile(f) as z:
                     for m in z.infolist():
                         base = m.filename.rsplit("/", 1)[-1]
                         if not m.is_dir() and not base.startswith("._") and "__MACOSX/" not in m.filename and (not suffixes or base.lower().endswith(tuple(suffixes))):
                             yield pa.record_batch([pa.array([where]), pa.array([m.filename]), pa.array([z.read(m)], pa.binary())], ["archive", "name", "payload"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(explode, "archive string, name string, payload binary")
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(explode, "archive string, name string, payload binary")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, text: str = "text") -> DataFrame:
@@ -199,41 +200,54 @@ def frame_record(raw: bytes, table: list[int]) -> bytes:
 
 
 def record_files(spark: SparkSession, path: str, verify: bool = False) -> DataFrame:
-    """(file, image, label) of TFRecord files of Examples."""
+    """(file, image, label) of TFRecord files of Examples; files are streamed, in batches of bounded size."""
+    from .tar import BATCH_BYTES, filesystem
 
     def explode(batches):
         table = _crc_table() if verify else None
+        made = lambda where, images, labels: pa.record_batch([pa.array([where] * len(images), pa.string()), pa.array(images, pa.binary()), pa.array(labels, pa.string())], ["file", "image", "label"])
         for batch in batches:
-            for where, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at, images, labels = 0, [], []
-                while at < len(content):
-                    (n,) = struct.unpack_from("<Q", content, at)
-                    raw = content[at + 12 : at + 12 + n]
-                    if verify and (masked_crc(raw, table),) != struct.unpack_from("<I", content, at + 12 + n):
-                        raise ValueError(f"wrong checksum in {where} at {at}")
-                    example = decode_example(raw)
-                    images.append(example.get("image"))
-                    labels.append(example.get("label", b"").decode())
-                    at += 16 + n
-                yield pa.record_batch([pa.array([where] * len(images), pa.string()), pa.array(images, pa.binary()), pa.array(labels, pa.string())], ["file", "image", "label"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(explode, "file string, image binary, label string")
+            for where in batch.column(0).to_pylist():
+                at, held, images, labels = 0, 0, [], []
+                files, name = filesystem(where)
+                with files.open_input_stream(name, compression=None, buffer_size=1 << 20) as f:
+                    while head := f.read(12):
+                        n = struct.unpack("<Q", head[:8])[0] if len(head) == 12 else 0
+                        raw, crc = f.read(n), f.read(4)
+                        if len(head) < 12 or len(raw) < n or len(crc) < 4:
+                            raise ValueError(f"{where} ends inside the record at {at}")
+                        if verify and masked_crc(raw, table) != struct.unpack("<I", crc)[0]:
+                            raise ValueError(f"wrong checksum in {where} at {at}")
+                        example = decode_example(raw)
+                        images.append(example.get("image"))
+                        labels.append(example.get("label", b"").decode())
+                        at += 16 + n
+                        held += n + 200
+                        if held >= BATCH_BYTES:
+                            yield made(where, images, labels)
+                            held, images, labels = 0, [], []
+                yield made(where, images, labels)
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(explode, "file string, image binary, label string")
 
 
 def arrow_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of Arrow stream or file-format files (*.arrow)."""
+    from .tar import opened
 
     def explode(batches):
         for batch in batches:
-            for content in batch.column(0):
-                raw = content.as_buffer()
-                try:
-                    reader = pa.ipc.open_file(pa.BufferReader(raw))
-                    yield from (reader.get_batch(i) for i in range(reader.num_record_batches))
-                except pa.ArrowInvalid:
-                    yield from pa.ipc.open_stream(pa.BufferReader(raw))
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(path).select("content").mapInArrow(explode, schema)
+            for where in batch.column(0).to_pylist():
+                with opened(where) as f:
+                    try:
+                        reader = pa.ipc.open_file(f)
+                    except pa.ArrowInvalid:
+                        f.seek(0)
+                        yield from pa.ipc.open_stream(f)
+                    else:
+                        yield from (reader.get_batch(i) for i in range(reader.num_record_batches))
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(path).select("path").mapInArrow(explode, schema)
 
 
 def _needs(library: str, what: str) -> Callable:

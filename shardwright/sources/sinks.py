@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as X
 from .files import _crc_table, encode_example, frame_record
-from .tar import filesystem
+from .tar import filesystem, pieces
 
 
 def write_shards(packed: DataFrame, root: str, trailer: bool = True) -> DataFrame:
@@ -40,7 +40,7 @@ def write_shards(packed: DataFrame, root: str, trailer: bool = True) -> DataFram
                 files.move(f"{base}/shard_{now}.tmp.{attempt}", f"{base}/shard_{now}")
                 done.append((now, end))
 
-        for batch in batches:
+        for batch in pieces(batches):
             for path, shard, offset, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 if shard != now:
                     close()
@@ -136,7 +136,7 @@ def write_webdataset(samples: DataFrame, root: str) -> DataFrame:
         files, base = filesystem(root)
         files.create_dir(base, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
-        now, stream, tar, names = None, None, None, []
+        now, stream, tar = None, None, None
 
         def close():
             if tar is not None:
@@ -144,7 +144,8 @@ def write_webdataset(samples: DataFrame, root: str) -> DataFrame:
                 stream.close()
                 files.move(f"{base}/shard-{now:06d}.tar.{attempt}", f"{base}/shard-{now:06d}.tar")
 
-        for batch in batches:
+        for batch in pieces(batches):
+            names = []
             for shard, key, kind, payload, label in zip(*(c.to_pylist() for c in batch.columns)):
                 if shard != now:
                     close()
@@ -155,9 +156,10 @@ def write_webdataset(samples: DataFrame, root: str) -> DataFrame:
                     info = tarfile.TarInfo(name)
                     info.size = len(raw)
                     tar.addfile(info, io.BytesIO(raw))
+                    tar.members = []  # it would keep all headers
                 names.append((f"{key}.{kind}", shard))
+            yield pa.record_batch([pa.array([n[0] for n in names], pa.string()), pa.array([n[1] for n in names], pa.int64())], ["name", "shard"])
         close()
-        yield pa.record_batch([pa.array([n[0] for n in names], pa.string()), pa.array([n[1] for n in names], pa.int64())], ["name", "shard"])
 
     from ..storage import materialize
 
@@ -176,19 +178,23 @@ def write_record_files(samples: DataFrame, root: str, index: bool = False) -> in
         files.create_dir(base, recursive=True)
         table, task, n = _crc_table(), TaskContext.get(), 0
         name = f"{base}/part-{task.partitionId():06d}.tfrecord"
-        places, at = [], 0
+        at, places, idx = 0, None, f"{base}_index/part-{task.partitionId():06d}.idx"
+        aside = f"{base}_index/._{task.partitionId():06d}.{task.taskAttemptId()}"
+        if index:
+            files.create_dir(f"{base}_index", recursive=True)
+            places = files.open_output_stream(aside, buffer_size=1 << 16)
         with files.open_output_stream(f"{name}.{task.taskAttemptId()}") as out:
-            for batch in batches:
+            for batch in pieces(batches):
                 for payload, label in zip(*(c.to_pylist() for c in batch.columns)):
                     raw = frame_record(encode_example({"image": payload, "label": label.encode()}), table)
                     out.write(raw)
-                    places.append(f"{at} {len(raw)}\n")
+                    if index:
+                        places.write(b"%d %d\n" % (at, len(raw)))
                     at += len(raw)
                     n += 1
         if index:
-            files.create_dir(f"{base}_index", recursive=True)
-            with files.open_output_stream(f"{base}_index/part-{task.partitionId():06d}.idx") as out:
-                out.write("".join(places).encode())
+            places.close()
+            files.move(aside, idx)
         files.move(f"{name}.{task.taskAttemptId()}", name)
         yield pa.record_batch([pa.array([n])], ["n"])
 

@@ -378,3 +378,33 @@ def test_byte_shares_run_once_and_log_mel_in_pieces(spark):
     waves = spark.createDataFrame([(i, P.write_wave(np.full(400, i / 400, np.float32), 16_000) if i % 7 else b"no") for i in range(300)], "i int, raw binary").coalesce(1)
     mel = {r.i: r.m for r in waves.select("i", P.log_mel_udf("raw").alias("m")).collect()}
     assert all(mel[i] is None for i in range(0, 300, 7)) and mel[299] == pytest.approx(P.log_mel(P.one_second(P.write_wave(np.full(400, 299 / 400, np.float32), 16_000))).ravel().tolist())
+
+
+def test_archives_and_record_files_are_streamed(spark, tmp_path):
+    """Batches stay small however long a file is; the rows are as many as were written."""
+    import pyarrow as pa
+
+    body = bytes(range(256)) * 4096  # 1 MiB
+    with tarfile.open(tmp_path / "a b.tar", "w") as t:
+        folder = tarfile.TarInfo("d")
+        folder.type = tarfile.DIRTYPE
+        t.addfile(folder)
+        for i in range(20):
+            info = tarfile.TarInfo(f"d/{i}.bin")
+            info.size = len(body)
+            t.addfile(info, io.BytesIO(body))
+    made = list(tar.tar_members([pa.record_batch([pa.array([f"file:{tmp_path}/a b.tar"])], ["path"])]))
+    assert sum(b.num_rows for b in made) == 20 and max(b.nbytes for b in made) < 6 << 20
+    assert {r.name: bytes(r.payload) == body for r in tar.read_tars(spark, str(tmp_path)).collect()} == {f"d/{i}.bin": True for i in range(20)}
+    root = str(tmp_path / "tf")
+    sinks.write_record_files(spark.createDataFrame([(body, str(i)) for i in range(20)], "payload binary, label string").coalesce(1), root, index=True)
+    got = files.record_files(spark, root, verify=True)
+    assert sorted(int(r.label) for r in got.where(F.col("image") == F.lit(body)).select("label").collect()) == list(range(20))
+    lines = [tuple(map(int, r.value.split())) for r in spark.read.text(f"{root}_index").collect()]
+    assert len(lines) == 20 and all(b[0] == a[0] + a[1] for a, b in zip(lines, lines[1:]))
+    with open(next((tmp_path / "tf").glob("*.tfrecord")), "ab") as f:
+        f.write(b"\x05" + bytes(9))
+    for p in (tmp_path / "tf").glob(".*crc"):
+        p.unlink()
+    with pytest.raises(Exception, match="ends inside the record"):
+        files.record_files(spark, root).count()

@@ -103,11 +103,12 @@ def rename_records(ops: DataFrame) -> DataFrame:
     while True:
         state = open_.withColumn("a", outcome)
         done = state.where("a is not null").select(F.col("seq").alias("k"), F.col("a").alias("av"))
-        left = state.join(done.withColumnsRenamed({"k": "sb", "av": "sa"}), "sb", "left").join(done.withColumnsRenamed({"k": "tb", "av": "ta"}), "tb", "left")
+        # merge: compressed, these tables look small enough to be sent through the driver in each round
+        left = state.join(done.withColumnsRenamed({"k": "sb", "av": "sa"}).hint("merge"), "sb", "left").join(done.withColumnsRenamed({"k": "tb", "av": "ta"}).hint("merge"), "tb", "left")
         open_ = materialize(left.select("seq", F.coalesce("sv", "sa").alias("sv"), "sb", F.coalesce("tv", "ta").alias("tv"), "tb"), "renames")
         if open_.where("sv is null").isEmpty():
             break
-    found = moves.join(open_.select("seq", F.col("sv").alias("v")), "seq").where("v.live")
+    found = moves.join(open_.select("seq", F.col("sv").alias("v")).hint("merge"), "seq").where("v.live")
     ended = found.select("seq", "path", F.lit(False).alias("live"), F.lit(None).cast("long").alias("size"))
     made = found.select("seq", F.col("target").alias("path"), F.lit(True).alias("live"), F.col("v.size").alias("size"))
     return facts.select("seq", "path", "v.live", "v.size").unionByName(ended).unionByName(made)

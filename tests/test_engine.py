@@ -408,3 +408,9 @@ def test_archives_and_record_files_are_streamed(spark, tmp_path):
         p.unlink()
     with pytest.raises(Exception, match="ends inside the record"):
         files.record_files(spark, root).count()
+
+
+def test_rename_rounds_send_nothing_through_the_driver(spark):
+    ops = spark.range(400).selectExpr("id as seq", "if(id % 3 = 0, 'put', 'rename') as op", "concat('u', id % 5) as path", "concat('u', (id + 1) % 5) as target", "id as size")
+    plan = log.rename_records(ops)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

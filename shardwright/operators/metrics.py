@@ -35,7 +35,7 @@ def percentiles(rows: DataFrame, group: str, value: str, quantiles: dict[str, fl
 
     def between(name):
         a, b, p = F.col(f"{name}_low"), F.col(f"{name}_high"), place[name]
-        return F.when(a.eqNullSafe(b), a).otherwise((F.ceil(p) - p) * a + (p - F.floor(p)) * b)
+        return F.when(a.eqNullSafe(b), a).otherwise(a + (b - a) * (p - F.floor(p)))
 
     found = ends.select("__h", *[between(name).alias(name) for name in quantiles])
     out = groups.select("__g").join(found, F.col("__g").eqNullSafe(F.col("__h")), "left")
